@@ -32,13 +32,20 @@ def count_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")).cast("long")
 
 
+def draw_key() -> Column:
+    """What a document is drawn by: its id, or its text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
+
+
+def draw_of(key: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens and the draw u in [0, 1)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("_t"), count_words(text).alias("_w"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("_t"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return rows.select("doc_id", "source", "lang", topic_of(F.col("_t"), F.col("_w")).alias("topic"), F.greatest("_w", F.lit(1)).alias("n_tokens"), draw.alias("u"))
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("_t"), count_words(text).alias("_w"), draw_of(draw_key()).alias("u"))
+    return rows.select("doc_id", "source", "lang", topic_of(F.col("_t"), F.col("_w")).alias("topic"), F.greatest("_w", F.lit(1)).alias("n_tokens"), "u")
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, rounds: int = 8) -> DataFrame:
@@ -83,11 +90,24 @@ def calibrate(cells: DataFrame, keep: float = 0.8) -> DataFrame:
     return cells.withColumn("probability", F.when(F.col("weight") > 0, probability).otherwise(0.0)).drop("_need", "_full", "_rest", "_c", "_scale")
 
 
+def shares_of(spark: SparkSession, rows: DataFrame, targets, temperature: float, rounds: int, keep: float) -> DataFrame:
+    """(source, lang, topic, probability), broadcast where it is small."""
+    cells = stored(spark, rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")).coalesce(1), "cells")
+    raked = stored(spark, calibrate(rake(cells, targets, temperature, rounds), keep).select(*AXES, "probability"), "shares")
+    return F.broadcast(raked) if raked.count() <= BROADCAST_CELLS else raked
+
+
+def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, rounds: int = 8, keep: float = 0.8) -> DataFrame:
+    """The kept documents with their own columns."""
+    shares = shares_of(spark, measure(docs), targets, temperature, rounds, keep).select(*(F.col(a).alias(f"_{a}") for a in AXES), F.col("probability").alias("_p"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(text, count_words(text))})
+    return rows.join(shares, [f"_{a}" for a in AXES]).where(draw_of(draw_key()) < F.col("_p")).select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, rounds: int = 8, keep: float = 0.8) -> DataFrame:
     """Kept documents: doc_id, source, lang, topic, n_tokens, probability, weight (1 / probability)."""
     rows = measure(docs)
-    cells = stored(spark, rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")).coalesce(1), "cells")
-    raked = stored(spark, calibrate(rake(cells, targets, temperature, rounds), keep).select(*AXES, "probability"), "shares")
-    shares = F.broadcast(raked) if raked.count() <= BROADCAST_CELLS else raked
+    shares = shares_of(spark, rows, targets, temperature, rounds, keep)
     kept = rows.join(shares, list(AXES)).where("u < probability")
     return kept.select("doc_id", *AXES, "n_tokens", "probability", (1 / F.col("probability")).alias("weight"))

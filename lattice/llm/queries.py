@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattice.llm import ann, chat, decontam, html, jaccard, mixing, quality, tokens, toxicity, urls
+
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
@@ -19,42 +21,60 @@ def tokenizer_path() -> str:
 
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lattice.llm import ann
-
     return ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lattice.llm import chat
-
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digest(chat.render(chat.reconstruct(chat.as_events(rows))))
 
 
-def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lattice.llm import jaccard
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(spark, table(spark, sf_dir, "pages"))
 
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(spark, table(spark, sf_dir, "documents"))
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lattice.llm import tokens
-
     return tokens.read_shards(tokens.write_shards(spark, table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
-def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lattice.llm import urls
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, table(spark, sf_dir, "pages"))
 
 
-def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lattice.llm import mixing
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_multi_index_hashing, op2_chat_formatting, op4_ngram_jaccard, op5_token_shards, op7_url_filter, op10_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_multi_index_hashing,
+        op2_chat_formatting,
+        op3_main_text,
+        op4_ngram_jaccard,
+        op5_token_shards,
+        op6_toxicity,
+        op7_url_filter,
+        op8_quality,
+        op9_decontamination,
+        op10_source_mixing,
+    )
+}
