@@ -8,7 +8,7 @@ so a subtree is left where even its corner cannot reach the overlap that the thr
 In a hundred dimensions one tree over a whole corpus prunes nothing near its root, so the root fans out by
 content: two sets at Jaccard t share one of their n - ceil(t n) + 1 first shingles in any common order. The order
 is by corpus-wide counts of hashed groups, rare ones first, so that passages which thousands of documents share
-route almost nothing. Every route holds its own R-tree; nothing is sampled or capped.
+route almost nothing. Routes hold R-trees; nothing is sampled or capped.
 
 Groups of near copies are settled before trees meet them: twice, each route's members are compared with one leader,
 links are verified on the sets, and components found; the trees then compare members of different components
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from lattice.operators.components import connected_components
 from lattice.storage import discard, stored
 
-GROUPS = 64
-FULL = np.iinfo(np.uint16).max
+GROUPS, GROUP_SHIFT = 256, np.uint64(56)
+FULL = np.iinfo(np.uint8).max
 ORDER_BITS, CHUNK = 18, 4096
 LEAF, FANOUT = 32, 16
 MAX_ROUTE = 4096
@@ -66,7 +66,7 @@ def shingle_hashes(text: bytes | None, words: int = 5) -> np.ndarray:
 
 def count_vector(v: np.ndarray) -> np.ndarray:
     """Counts by group, from high bits; a full count stands for any larger one."""
-    return np.minimum(np.bincount((v >> np.uint64(58)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16)
+    return np.minimum(np.bincount((v >> GROUP_SHIFT).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
 
 
 def set_key(v: np.ndarray) -> int:
@@ -224,7 +224,7 @@ def _bounded(percent: int):
         for batch in batches:
             if batch.num_rows:
                 n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS) for i in (4, 5))
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (4, 5))
                 fits = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (overlap_bound(a, b) >= needed(n, m, percent))
                 yield batch.select([0, 1]).filter(pa.array(fits))
 
@@ -237,7 +237,7 @@ def _tree_pairs(percent: int):
             for route in batch.column(0).to_pylist():
                 key = np.array([r["key"] for r in route], np.int64)
                 comp = np.array([r["comp"] for r in route], np.int64)
-                tree = RTree(np.array([r["n"] for r in route], np.int64), np.frombuffer(b"".join(r["counts"] for r in route), np.uint16).reshape(-1, GROUPS))
+                tree = RTree(np.array([r["n"] for r in route], np.int64), np.frombuffer(b"".join(r["counts"] for r in route), np.uint8).reshape(-1, GROUPS))
                 left, right = [], []
                 for i in range(len(route)):
                     near = tree.near(i, percent)
@@ -325,18 +325,20 @@ class _Join:
         return pairs
 
     def trees(self, components: DataFrame) -> DataFrame:
-        """Pairs of different components that some route's R-tree cannot rule out."""
+        """Pairs of different components that some R-tree cannot rule out.
+
+        Routes with the same lowest key hold much the same members (copies share most first shingles), so they share one
+        tree over the union of their members; a union longer than ``MAX_ROUTE`` becomes trees over pairs of its parts.
+        """
         places = self.located(components)
         open_ = places.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-        places = places.join(open_, "token").select("token", "key", "comp", "members")
-        parts = F.ceil(F.col("members") / MAX_ROUTE * 2).cast("int")
+        shared = stored(self.spark, places.join(open_, "token", "left_semi").select("low", "key", "comp").distinct(), "shared")
+        sizes = shared.groupBy("low").agg(F.count(F.lit(1)).alias("members"))
+        parts = F.when(F.col("members") > MAX_ROUTE, F.ceil(F.col("members") / MAX_ROUTE * 2)).otherwise(F.lit(1)).cast("int")
         own = F.pmod(F.xxhash64("key"), parts).cast("int")
-        split = F.when(F.col("members") > MAX_ROUTE, F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
-        units = places.withColumn("unit", F.explode(split))
-        lists = units.groupBy("token", "unit").agg(F.sort_array(F.collect_set(F.struct("key", "comp"))).alias("l"))
-        lists = lists.select("l").distinct().withColumn("route", F.xxhash64("l")).select("route", F.inline("l"))
-        points = lists.join(self.classes.select("key", "n", "counts"), "key")
-        whole = points.groupBy("route").agg(F.collect_list(F.struct("key", "comp", "n", "counts")).alias("points")).select("points")
+        units = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+        points = shared.join(sizes, "low").withColumn("unit", F.explode(units)).join(self.classes.select("key", "n", "counts"), "key")
+        whole = points.groupBy("low", "unit").agg(F.collect_list(F.struct("key", "comp", "n", "counts")).alias("points")).select("points")
         return whole.mapInArrow(_tree_pairs(self.percent), "a long, b long").distinct()
 
     def run(self) -> DataFrame:
