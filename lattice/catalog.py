@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lattice.plans import queries, tables
+
+QUERIES: dict = {**queries.QUERIES, **tables.QUERIES}
+ORACLES: dict[str, str] = {**queries.ORACLES, **tables.ORACLES}
