@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from lattice.model import CONFIDENCE_SCORES, PropertyGraph
 from lattice.operators import stats
 
-_Q = F.lit("'")
-
-
 def node_link_rows(g: PropertyGraph) -> DataFrame:
     """kind and one JSON object per node and edge: the distributed form of a node-link document."""
     score = F.element_at(F.create_map(*(F.lit(x) for p in CONFIDENCE_SCORES.items() for x in p)), F.col("confidence"))
@@ -20,7 +17,7 @@ def node_link_rows(g: PropertyGraph) -> DataFrame:
 
 
 def _quoted(c: str) -> Column:
-    return F.concat(_Q, F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), _Q)
+    return F.concat(F.lit("'"), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
 
 
 def cypher(g: PropertyGraph) -> DataFrame:

@@ -82,19 +82,25 @@ def decayed_scores(events: DataFrame, half_life_days: float = 30.0) -> DataFrame
     return events.groupBy("node").applyInPandasWithState(update, "node string, score double, last double", "score double, last double", "update", GroupStateTimeout.NoTimeout)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Event time as an instant; a watermark on streams."""
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if rows.isStreaming else rows
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """An addition: counts and sums per type in event-time windows with a watermark."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 days", step: str = "1 day", late: str = "1 hour") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     return rows.groupBy(F.window("ts", width, step).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
