@@ -54,12 +54,12 @@ def reconstruct(events: DataFrame) -> DataFrame:
     turn = Window.partitionBy("conv_id", "turn").orderBy("seq", "_rank", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     log = log.withColumn("_n", F.count(F.lit(1)).over(turn)).withColumn("part", F.sum(F.when(F.col("kind") == "message", 1).otherwise(0)).over(turn))
     part = Window.partitionBy("conv_id", "turn", "part")
+    log = log.withColumn("role", F.coalesce(F.min(F.when(F.col("role") != "", F.struct("_n", "role"))).over(part)["role"], F.lit("")))
     log = log.withColumn("_from", F.max(F.when(F.col("kind") != "delta", F.col("_n"))).over(part))
     live = log.where("_from IS NULL OR _n >= _from")
-    events_of = F.sort_array(F.collect_list(F.struct("_n", "role", "text")))
-    folded = live.groupBy("conv_id", "turn", "part").agg(events_of.alias("_e"))
-    role = F.coalesce(F.filter("_e", lambda e: e.role != "")[0].role, F.lit(""))
-    return folded.select("conv_id", "turn", "part", role.alias("role"), F.array_join(F.transform("_e", lambda e: e.text), "").alias("text"))
+    events_of = F.sort_array(F.collect_list(F.struct("_n", "text")))
+    folded = live.groupBy("conv_id", "turn", "part").agg(F.first("role").alias("role"), events_of.alias("_e"))
+    return folded.select("conv_id", "turn", "part", "role", F.array_join(F.transform("_e", lambda e: e.text), "").alias("text"))
 
 
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:

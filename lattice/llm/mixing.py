@@ -63,7 +63,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temperat
     for axis in AXES:  # shares of the values that occur sum to 1
         one = F.row_number().over(Window.partitionBy(axis).orderBy(*AXES))
         cells = cells.withColumn("_one", F.when(one == 1, F.col(f"_{axis}")).otherwise(0.0))
-        cells = cells.withColumn(f"_{axis}", F.col(f"_{axis}") / F.sum("_one").over(total)).drop("_one")
+        cells = cells.withColumn(f"_{axis}", F.coalesce(F.try_divide(f"_{axis}", F.sum("_one").over(total)), F.lit(0.0))).drop("_one")
     cells = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(total))
     spark = cells.sparkSession
     for _ in range(rounds):
