@@ -18,6 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of at most ``most`` bytes: long texts must not add up to what a worker cannot hold.
+
+    Only a larger or unbounded setting is lowered; the user's smaller one stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later plans start from the files."""
     path = f"{shared_dir(spark)}/lattice-{uuid.uuid4().hex}/{name}"
