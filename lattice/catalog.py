@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattice.plans import queries, tables
+from lattice.plans import fragments, queries, tables
 
-QUERIES: dict = {**queries.QUERIES, **tables.QUERIES}
-ORACLES: dict[str, str] = {**queries.ORACLES, **tables.ORACLES}
+QUERIES: dict = {**queries.QUERIES, **tables.QUERIES, **fragments.QUERIES}
+ORACLES: dict[str, str] = {**queries.ORACLES, **tables.ORACLES, **fragments.ORACLES}
