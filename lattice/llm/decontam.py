@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Each token becomes a template token: numbers, units after a number, and names (capitalised words inside a sentence)
-are replaced by typed placeholders, other words by themselves, lower-cased and without edge punctuation. Windows of
+Each token becomes a template token: numbers, units after a number, and names (capitalised words inside a sentence, but not
+words all in capitals) are replaced by typed placeholders, other words by themselves, lower-cased and without edge punctuation. Windows of
 ``width`` template tokens are hashed and hash-joined to the benchmark's windows; a bounded bitmap of the benchmark's hashes
 spares the join the windows that cannot match. Matches on one alignment of a document with an item count together, and
 only if the slots agree: each value of the item stands for one value of the document and the reverse.
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.storage import stored
+from lattice.storage import bound_batches, stored
 
 WIDTH, MIN_WINDOWS, MIN_LITERALS = 8, 6, 4
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
@@ -43,10 +43,11 @@ class _Words(dict):
         bare = word.strip(_EDGE)
         low = bare.lower()
         kind = NUMBER if _NUMBER.match(bare) else UNIT if low in UNITS or word == b"%" else LITERAL
-        first = bare[:2].decode("utf-8", "ignore")[:1]
+        letters = bare.decode("utf-8", "replace")
+        title = letters[:1].isupper() and (len(letters) == 1 or not letters[1:].isupper())
         ends = word.rstrip(b"\"')]*&$%#!")[-1:] in (b".", b"?", b":") or word[-1:] in (b"!", b"?", b".")
-        out = (xxhash.xxh3_64_intdigest(low) >> 4 << 4) | kind << 2 | ends << 1 | first.isupper()
-        if len(self) > 500_000:
+        out = (xxhash.xxh3_64_intdigest(low) >> 4 << 4) | kind << 2 | ends << 1 | title
+        if len(self) > 150_000:
             self.clear()
         self[word] = out
         return out
@@ -116,6 +117,7 @@ def _cut(name: str, widths: list[int] | None, bitmap, min_windows: int, min_lite
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_windows: int = MIN_WINDOWS, min_literals: int = MIN_LITERALS) -> DataFrame:
     """doc_id, item_id, n_windows, n_slots, exact: the items that each document repeats, at their best alignment."""
+    bound_batches(spark)
     ddl = "{0} long, place int, hash long, kinds array<byte>, {0}_slots array<long>, needed int, width int"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = stored(spark, items.mapInArrow(_cut("item_id", None, None, min_windows, min_literals), ddl.format("item_id")), "items")

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattice.storage import bound_batches
+
 _TAG = re.compile(r"<(?:!--(?P<note>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*>)")
 _ATTR = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
@@ -56,7 +58,7 @@ HASHED = 16
 N_ATTR = len(WORDS) + HASHED
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(10_000)
 def _tokens(attrs: str) -> tuple[int, ...]:
     """Feature places of the class, id and role tokens."""
     found = set()
@@ -399,6 +401,7 @@ def extract(sources: list[str | None], model: BoostedTrees) -> list[str]:
 
 def main_texts(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
+    bound_batches(spark)
     model = spark.sparkContext.broadcast(fitted())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

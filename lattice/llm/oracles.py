@@ -53,7 +53,7 @@ q{k} AS (SELECT *, least(floor((b + 4.0 * up) / (n + 4.0) * 5), 4) AS bin FROM o
 m{k} AS (SELECT branch, bin, CASE WHEN count(*) > 1 THEN '{{' || min(g) || '|..}}' ELSE min(g) END AS label, (sum(b) + 4.0 * first(up)) / (sum(n) + 4.0) AS q FROM q{k} GROUP BY branch, bin),
 a{k + 1} AS (SELECT g.host, g.s0, g.s1, g.n, g.b, g.branch || '/' || m.label AS branch, m.q AS up FROM g{k} g JOIN q{k} q ON q.branch = g.branch AND q.g = g.g JOIN m{k} m ON m.branch = q.branch AND m.bin = q.bin)
 """
-    return sql + """SELECT page_id, r.host, path, rule, coalesce(act, CASE WHEN up >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN deep THEN branch || '/**' ELSE branch END AS template, up::DOUBLE AS purity
+    return sql + """SELECT page_id, r.host, path, rule, coalesce(act, CASE WHEN up >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN deep THEN branch || '/**' ELSE branch END AS template, round(up, 9)::DOUBLE AS purity
 FROM shaped r LEFT JOIN a2 USING (host, s0, s1)"""
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.llm.toxicity import held_out, training_rows
+from lattice.storage import bound_batches
 
 _CLASSES = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 else 57 if 48 <= b <= 57 else 120 if b >= 128 else 32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -31,7 +32,7 @@ _shapes: dict[bytes, bytes] = {}
 
 def _shape(word: bytes) -> bytes:
     if word not in _shapes:
-        if len(_shapes) > 100_000:
+        if len(_shapes) > 50_000:
             _shapes.clear()
         _shapes[word] = _RUN.sub(rb"\1+", word)[:24].replace(b"x+", b"x").replace(b"X+", b"X")
     return _shapes[word]
@@ -113,6 +114,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "q
 
 def score(spark: SparkSession, docs: DataFrame, model: Voter, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +134,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options)
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: Voter, threshold: float = 0.3) -> DataFrame:
     """The documents' own columns, without those that score below the threshold; one pass, no join."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 

@@ -48,7 +48,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(spark, table(spark, sf_dir, "pages"))
+    return urls.judge(spark, table(spark, sf_dir, "pages")).withColumn("purity", F.round("purity", 9))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
+    return mixed.withColumns({"probability": F.round("probability", 9), "weight": F.round("weight", 9)})
 
 
 QUERIES = {

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattice.storage import bound_batches
+
 FOLDS, PIECE = 5, 5
 _WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -150,6 +152,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "t
 
 def score(spark: SparkSession, docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
