@@ -12,8 +12,8 @@ route almost nothing. Routes hold R-trees; nothing is sampled or capped.
 
 Groups of near copies are settled before trees meet them: twice, each route's members are compared with one leader,
 links are verified on the sets, and components found; the trees then compare members of different components
-only. Verification ships each set once per block pair, not per candidate pair. Routes longer than
-``MAX_ROUTE`` are split into pairs of parts. Memory per task is bounded by these constants.
+only. Verification ships a set once per block of pairs, not per pair. Routes longer than ``MAX_ROUTE`` are split
+into pairs of parts. Memory per task is bounded by these constants.
 
 Edge cases: text null, empty or all white space: empty set, linked with nothing; fewer than ``words`` words: the whole
 sequence is the one shingle; repeated rows and repeated doc_ids are linked as equal sets; a null doc_id takes part and
@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.operators.components import connected_components
-from lattice.storage import discard, stored
+from lattice.storage import bound_batches, discard, stored
 
 GROUPS, GROUP_SHIFT = 256, np.uint64(56)
 FULL = np.iinfo(np.uint8).max
 ORDER_BITS, CHUNK = 18, 4096
 LEAF, FANOUT = 32, 16
 MAX_ROUTE = 4096
-SETS_PER_BUCKET = 2048
+PAIRS_PER_BLOCK = 1024
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 16, 1 << 28
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -268,6 +268,12 @@ class _Join:
     def __init__(self, spark: SparkSession, docs: DataFrame, percent: int, words: int):
         self.spark, self.percent, self.words = spark, percent, words
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.spent: list[DataFrame] = []
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """A stored table that nothing needs once the components are known."""
+        self.spent.append(stored(self.spark, df, name))
+        return self.spent[-1]
 
     def profile(self) -> None:
         schema = "doc_id long, key long, n long, counts binary, chunk int, part int, sums binary"
@@ -277,13 +283,13 @@ class _Join:
         self.n_classes = self.classes.count()
 
     def routes(self) -> None:
-        """Postings of first shingles that at least two classes share: token, key, lowest and highest key, members."""
+        """Postings of first shingles that at least two classes share: token, key, lowest and highest key."""
         context = self.spark.sparkContext
         counts = context.broadcast(_group_counts(self.rows))
         bitmap = context.broadcast(_id_filter(self.classes, self.n_classes))
         postings = stored(self.spark, self.docs.mapInArrow(_postings(self.words, self.percent, counts, bitmap), "token long, key long"), "postings")
-        shared = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
-        self.members = stored(self.spark, postings.join(shared, "token"), "routes")
+        shared = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+        self.members = self.kept(postings.join(shared, "token"), "routes")
         discard(self.spark, postings)
 
     def with_points(self, pairs: DataFrame) -> DataFrame:
@@ -294,18 +300,22 @@ class _Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (stored, distinct) that link, by their whole sets."""
-        involved = stored(self.spark, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(self.classes.select("key", "doc_id"), "key"), "involved")
+        involved = self.kept(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(self.classes.select("key", "doc_id"), "key"), "involved")
         rows = involved.count()
         if not rows:
             return pairs
         bitmap = self.spark.sparkContext.broadcast(_id_filter(involved, rows))
         sets = self.docs.mapInArrow(_sets(self.words, bitmap), "key long, shingles binary").join(involved.select("key"), "key", "left_semi")
         sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
-        buckets = F.lit(-(-rows // SETS_PER_BUCKET))
-        spots = pairs.withColumn("p", F.pmod(F.xxhash64("a"), buckets)).withColumn("q", F.pmod(F.xxhash64("b"), buckets))
-        wanted = spots.select("p", "q", F.col("a").alias("key")).union(spots.select("p", "q", "b")).distinct()
+        # a pair goes where its busier end is; an end busy enough to fill a block is split over several
+        ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        busy = pairs.join(ends.toDF("a", "n_a"), "a").join(ends.toDF("b", "n_b"), "b")
+        first = F.col("n_a") >= F.col("n_b")
+        spots = busy.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("n_a", "n_b").alias("n"))
+        spots = spots.select("a", "b", "hub", "other", F.pmod(F.xxhash64("hub"), F.lit(-(-pairs.count() // PAIRS_PER_BLOCK))).alias("p"), F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / PAIRS_PER_BLOCK)).alias("q"))
+        wanted = spots.select("p", "q", F.col("hub").alias("key")).union(spots.select("p", "q", "other")).distinct()
         there = wanted.join(sets, "key").select(F.col("p").alias("p_"), F.col("q").alias("q_"), "key", "shingles")
-        return spots.groupBy("p", "q").cogroup(there.groupBy("p_", "q_")).applyInArrow(_exact(self.percent), "a long, b long")
+        return spots.select("p", "q", "a", "b").groupBy("p", "q").cogroup(there.groupBy("p_", "q_")).applyInArrow(_exact(self.percent), "a long, b long")
 
     def components(self, links: DataFrame) -> DataFrame:
         return connected_components(self.spark, links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("comp"))
@@ -332,7 +342,7 @@ class _Join:
         """
         places = self.located(components)
         open_ = places.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-        shared = stored(self.spark, places.join(open_, "token", "left_semi").select("low", "key", "comp").distinct(), "shared")
+        shared = self.kept(places.join(open_, "token", "left_semi").select("low", "key", "comp").distinct(), "shared")
         sizes = shared.groupBy("low").agg(F.count(F.lit(1)).alias("members"))
         parts = F.when(F.col("members") > MAX_ROUTE, F.ceil(F.col("members") / MAX_ROUTE * 2)).otherwise(F.lit(1)).cast("int")
         own = F.pmod(F.xxhash64("key"), parts).cast("int")
@@ -348,20 +358,22 @@ class _Join:
         links = tested = components = None
         for leader in ("low", "high", None):
             pairs = self.with_points(self.star(leader, components)) if leader else self.trees(components)
-            pairs = stored(spark, pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            found = stored(spark, self.verify(pairs), "links")
+            pairs = self.kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = self.kept(self.verify(pairs), "links")
             links = found if links is None else links.union(found)
             tested = pairs if tested is None else tested.union(pairs)
-            components = stored(spark, self.components(links), "components")
+            components = self.kept(self.components(links), "components")
         named = self.classes.join(components, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        named = named.select("key", "comp").join(names, "comp").select("key", "component_id")
+        named = stored(spark, named.select("key", "comp").join(names, "comp").select("key", "component_id"), "names")
+        discard(spark, self.classes, *self.spent)
         out = self.rows.where("chunk IS NULL").select("doc_id", "key", "n").join(named, "key", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def link_components(spark: SparkSession, docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
+    bound_batches(spark)
     return _Join(spark, docs, percent, words).run()
 
 
