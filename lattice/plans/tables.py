@@ -209,7 +209,7 @@ def jaro_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_pairs(spark, sf_dir).select("a", "b", F.round(T.jaro_udf("x", "y"), 6).alias("jaro"), F.round(T.jaro_winkler_udf("x", "y"), 6).alias("jaro_winkler"))
 
 
-@query(f"SELECT veto, count(*) AS n FROM (SELECT CASE WHEN greatest(length(x), length(y)) < 12 THEN 'short' WHEN x <> y AND (starts_with(x, y) OR starts_with(y, x)) THEN 'prefix' WHEN list_sort(list_transform(regexp_extract_all(x, '[0-9]+'), lambda d: regexp_replace(d, '^0+([0-9])', '\\1'))) <> list_sort(list_transform(regexp_extract_all(y, '[0-9]+'), lambda d: regexp_replace(d, '^0+([0-9])', '\\1'))) THEN 'digits' END AS veto FROM ({PAIRS_SQL})) WHERE coalesce(veto, '') <> 'short' GROUP BY veto")
+@query(f"SELECT veto, count(*) AS n FROM (SELECT CASE WHEN greatest(length(x), length(y)) < 12 AND NOT (jaro_winkler_similarity(x, y) >= 0.97 AND length(x) = length(y) AND damerau_levenshtein(x, y) <= 1) THEN 'short' WHEN x <> y AND (starts_with(x, y) OR starts_with(y, x)) THEN 'prefix' WHEN list_sort(list_transform(regexp_extract_all(x, '[0-9]+'), lambda d: regexp_replace(d, '^0+([0-9])', '\\1'))) <> list_sort(list_transform(regexp_extract_all(y, '[0-9]+'), lambda d: regexp_replace(d, '^0+([0-9])', '\\1'))) THEN 'digits' END AS veto FROM ({PAIRS_SQL})) WHERE coalesce(veto, '') <> 'short' GROUP BY veto")
 def dedup_veto_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = {c: v for s, t in (("a", "x"), ("b", "y")) for c, v in ((f"norm_{s}", F.col(t)), (f"source_file_{s}", F.lit("part.parquet")), (f"file_type_{s}", F.lit("concept")))}
     judged = entity.judge_pairs(_part_pairs(spark, sf_dir).withColumns(sides))
