@@ -14,8 +14,10 @@ table gives no shards. Only (doc_id, text) are read, so further columns cannot c
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattice.storage import stored
+from lattice.storage import bound_batches, stored
 
 MAGIC = int.from_bytes(b"LTOK0001", "little")
 HEADER = ("magic", "n_docs", "n_null", "n_tokens", "id_width", "first_id", "b_low", "b_lows", "b_highs", "b_samples", "i_low", "i_lows", "i_highs", "i_samples", "seq", "reserved")
 SAMPLE = 64
 SHARD_TOKENS = 4_000_000
 CACHE_UNITS = 500_000
+TAIL = "!#$%&()*+,-./:;<=>?@[]^_{|}~\""
 SHARDS = "range_no int, seq int, n_docs long, n_tokens long, payload binary"
 
 
@@ -123,15 +126,17 @@ class Shard:
 
 
 class _Encoder:
-    """Encodes texts with the tokenizers library; space-led units are encoded once and remembered.
+    """Encodes texts with the tokenizers library; pieces are encoded once and remembered.
 
-    A byte-level BPE never joins a non-space to a following space, so a text cut before each single space
-    between two non-space characters encodes piece by piece. Other texts are encoded as they are.
+    A byte-level BPE never joins a non-space to the white space after it, nor a letter or digit to the punctuation after it.
+    So a text cut before each single space or newline between two other characters, and before the
+    punctuation that ends such a piece, encodes piece by piece. Other texts are encoded as they are.
     """
 
     kept: dict[tuple, _Encoder] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -139,12 +144,14 @@ class _Encoder:
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.uint16 if self.width == 2 else np.uint32
-        alphabet = {c for w in list(self.tok.get_vocab())[:5000] for c in w}
-        self.by_unit = "Ġ" in alphabet and self.tok.normalizer is None
+        vocabulary = self.tok.get_vocab()
+        self.by_piece = "Ġ" in vocabulary and self.tok.normalizer is None
         self.lengths = np.zeros(size, np.int64)
-        for word, i in self.tok.get_vocab().items():
+        for word, i in vocabulary.items():
             self.lengths[i] = len(word)
-        self.units: dict[str, bytes | None] = {}
+        self.units: dict[str, bytes | None] = {}  # what follows a space, by its text
+        self.lines: dict[str, bytes] = {}  # what follows a newline
+        self.tails: dict[str, bytes] = {}  # punctuation after a letter or digit
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -155,48 +162,84 @@ class _Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, units: list[str]) -> None:
-        good = []
-        for u in units:
-            if len(u) < 2 or u[1].isspace() or u[-1].isspace():
-                self.units[u] = None
-            else:
-                good.append(u)
-        for k in range(0, len(good), 4096):
-            part = good[k : k + 4096]
-            ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, np.int64)
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._whole(tail)
+        return self.tails[tail]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each led by its own space or newline and free of both inside."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 8192):
+            part = pieces[k : k + 8192]
+            text = "".join(part)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             ends = np.cumsum(self.lengths[ids])
-            goal = np.cumsum([len(u.encode()) for u in part])
+            goal = np.append(np.flatnonzero((raw == 32) | (raw == 10))[1:], len(raw))
             cuts = np.searchsorted(ends, goal)
-            if len(ids) and ends[-1] == goal[-1] and (ends[cuts] == goal).all():
-                raw, at = ids.astype(self.kind).tobytes(), 0
-                for u, c in zip(part, ((cuts + 1) * self.width).tolist(), strict=True):
-                    self.units[u] = raw[at:c]
-                    at = c
+            if len(ids) and len(goal) == len(part) and ends[-1] == goal[-1] and (ends[cuts] == goal).all():
+                whole, stops = ids.astype(self.kind).tobytes(), ((cuts + 1) * self.width).tolist()
+                out += map(whole.__getitem__, map(slice, [0, *stops], stops))
             else:
-                for u in part:
-                    self.units[u] = self._whole(u)
+                out += map(self._whole, part)
+        return out
+
+    def _learn(self, units: list[str]) -> None:
+        """Remember units; those that begin or end in white space, or hold two white spaces in a row, stay unknown."""
+        fresh: dict[str, None] = dict.fromkeys([" " + u for u in units if u.isalpha()])
+        plans: list[tuple[str, list[tuple[dict, str, str]]]] = []
+        for u in units:
+            if u.isalpha():
+                continue
+            lines = u.split("\n")
+            plan = []
+            for i, x in enumerate(lines):
+                if not x or x[0].isspace() or x[-1].isspace():
+                    plan = None
+                    break
+                core = x.rstrip(TAIL)
+                if len(core) == len(x) or not core or not (core[-1].isalnum() and ord(core[-1]) < 0x250 and (core[-1].isalpha() or core[-1].isascii())):
+                    core = x
+                table, lead = (self.lines, "\n") if i else (self.units, " ")
+                if core not in table:
+                    fresh[lead + core] = None
+                plan.append((table, core, x[len(core) :]))
+            if plan is None:
+                self.units[u] = None
+            elif len(plan) > 1 or plan[0][2]:
+                plans.append((u, plan))
+        pieces = list(fresh)
+        for piece, ids in zip(pieces, self._encode_pieces(pieces), strict=True):
+            (self.units if piece[0] == " " else self.lines)[piece[1:]] = ids
+        for u, plan in plans:
+            self.units[u] = b"".join([table[core] + self._tail(tail) if tail else table[core] for table, core, tail in plan])
+
+    def _forget(self) -> None:
+        """Keep the first-learned half: frequent pieces come early."""
+        for name in ("units", "lines"):
+            table = getattr(self, name)
+            if len(table) > CACHE_UNITS:
+                setattr(self, name, dict(islice(table.items(), CACHE_UNITS // 2)))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if not self.by_unit:
+        if not self.by_piece:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        cut = []
-        for s in texts:
-            u = s.split(" ")
-            cut.append([" " + x for x in u])
-        known = self.units
-        fresh = {x for u in cut for x in u[1:] if x not in known}
+        self._forget()
+        known, get = self.units, self.units.__getitem__
+        cut = [s.split(" ") for s in texts]
+        fresh = [x for x in set(chain.from_iterable(cut)) if x not in known]
         if fresh:
-            self._learn(sorted(fresh))
+            self._learn(fresh)
         out = []
         for s, u in zip(texts, cut, strict=True):
-            head = u[0][1:]
+            head = u[0]
             try:
                 if not head or head[0].isspace() or head[-1].isspace():
                     raise TypeError
-                out.append(self._whole(head) + b"".join(map(known.__getitem__, u[1:])))
+                out.append(self._whole(head) + b"".join(map(get, islice(u, 1, None))))
             except TypeError:
                 out.append(self._whole(s))
         return out
@@ -215,8 +258,8 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([place], [seq], [len(names)], [int(ends[-1])], [payload]), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 ids = part.column(0).to_pylist()
                 for d, raw in zip(ids, encoder.batch([s or "" for s in part.column(1).to_pylist()]), strict=True):
                     names.append(d)
@@ -234,6 +277,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
 
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode (doc_id, text) into shards in ascending doc_id order; returns the stored shard table."""
+    bound_batches(spark)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stored(spark, ranged.mapInArrow(_shards(tokenizer_path, end_id, shard_tokens), SHARDS), "token_shards")
 
