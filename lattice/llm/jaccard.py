@@ -35,12 +35,15 @@ from pyspark.sql import functions as F
 from lattice.operators.components import connected_components
 from lattice.storage import bound_batches, discard, stored
 
-GROUPS, GROUP_SHIFT = 256, np.uint64(56)
+#: Groups of a set of up to ``BASE_SIZE`` shingles; four times as many for each further factor of four, so that
+#: a group holds one to four shingles and the bound stays sharp for long texts.
+GROUPS, BASE_SIZE = 256, 1024
 FULL = np.iinfo(np.uint8).max
 ORDER_BITS, CHUNK = 18, 4096
 LEAF, FANOUT = 32, 16
 MAX_ROUTE = 4096
 PAIRS_PER_BLOCK = 1024
+BROADCAST_TOKENS = 500_000
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 16, 1 << 28
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,9 +67,26 @@ def shingle_hashes(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(v)
 
 
+def groups_of(n: int) -> int:
+    groups = GROUPS
+    while n > BASE_SIZE * (groups // GROUPS):
+        groups *= 4
+    return groups
+
+
 def count_vector(v: np.ndarray) -> np.ndarray:
     """Counts by group, from high bits; a full count stands for any larger one."""
-    return np.minimum(np.bincount((v >> GROUP_SHIFT).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
+    groups = groups_of(len(v))
+    shift = np.uint64(64 - groups.bit_length() + 1)
+    return np.minimum(np.bincount((v >> shift).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The same points counted in fewer groups; what is full stays full."""
+    if counts.shape[-1] == groups:
+        return counts
+    parts = counts.reshape(*counts.shape[:-1], groups, -1)
+    return np.where((parts == FULL).any(-1), FULL, np.minimum(parts.sum(-1, dtype=np.int64), FULL)).astype(np.uint8)
 
 
 def set_key(v: np.ndarray) -> int:
@@ -213,8 +233,8 @@ def _postings(words: int, percent: int, counts, bitmap):
 def _sets(words: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _texts(batches):
-            sets = [shingle_hashes(t, words) for passes, t in zip(_passes(bitmap.value, ids), texts, strict=True) if passes]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(v) for v in sets], pa.int64()), pa.array([v.tobytes() for v in sets], pa.binary())], names=["key", "shingles"])
+            sets = [(d, shingle_hashes(t, words)) for passes, d, t in zip(_passes(bitmap.value, ids), ids, texts, strict=True) if passes]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.int64()), pa.array([set_key(v) for _, v in sets], pa.int64()), pa.array([v.tobytes() for _, v in sets], pa.binary())], names=["doc_id", "key", "shingles"])
 
     return run
 
@@ -222,29 +242,52 @@ def _sets(words: int, bitmap):
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, GROUPS) for i in (4, 5))
-                fits = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (overlap_bound(a, b) >= needed(n, m, percent))
-                yield batch.select([0, 1]).filter(pa.array(fits))
+            if not batch.num_rows:
+                continue
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            shapes: dict[tuple[int, int], list[int]] = {}
+            for i in np.flatnonzero(fits).tolist():
+                shapes.setdefault((len(left[i]), len(right[i])), []).append(i)
+            for (x, y), rows in shapes.items():
+                for k in range(0, len(rows), 1024):
+                    at = rows[k : k + 1024]
+                    a = folded(np.frombuffer(b"".join(left[i] for i in at), np.uint8).reshape(-1, x), min(x, y))
+                    b = folded(np.frombuffer(b"".join(right[i] for i in at), np.uint8).reshape(-1, y), min(x, y))
+                    fits[at] = overlap_bound(a, b) >= needed(n[at], m[at], percent)
+            yield batch.select([0, 1]).filter(pa.array(fits))
 
     return run
 
 
+def tree_pairs(key: np.ndarray, comp: np.ndarray, sizes: np.ndarray, counts: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components whose bound lets them link: a tree for each number of groups.
+
+    A tree holds the points that have its groups and the larger ones that can still link with one of them.
+    """
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    groups = np.array([len(c) for c in counts])
+    for g in np.unique(groups).tolist():
+        most = sizes[groups == g].max()
+        rows = np.flatnonzero((groups == g) | ((groups > g) & (percent * sizes <= 100 * most)))
+        tree = RTree(sizes[rows], np.stack([folded(counts[i], g) for i in rows]))
+        for i in np.flatnonzero(groups[rows] == g):
+            near = rows[tree.near(i, percent)]
+            own = rows[i]
+            near = near[(comp[near] != comp[own]) & ((groups[near] > g) | (key[near] > key[own]))]
+            left.append(np.minimum(key[near], key[own]))
+            right.append(np.maximum(key[near], key[own]))
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _tree_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for route in batch.column(0).to_pylist():
-                key = np.array([r["key"] for r in route], np.int64)
-                comp = np.array([r["comp"] for r in route], np.int64)
-                tree = RTree(np.array([r["n"] for r in route], np.int64), np.frombuffer(b"".join(r["counts"] for r in route), np.uint8).reshape(-1, GROUPS))
-                left, right = [], []
-                for i in range(len(route)):
-                    near = tree.near(i, percent)
-                    near = near[(key[near] > key[i]) & (comp[near] != comp[i])]
-                    left.append(np.full(len(near), key[i]))
-                    right.append(key[near])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                of = lambda name: np.array([r[name] for r in route], np.int64)  # noqa: E731, B023
+                a, b = tree_pairs(of("key"), of("comp"), of("n"), [np.frombuffer(r["counts"], np.uint8) for r in route], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -283,13 +326,18 @@ class _Join:
         self.n_classes = self.classes.count()
 
     def routes(self) -> None:
-        """Postings of first shingles that at least two classes share: token, key, lowest and highest key."""
+        """What routes hold: pairs of those with two classes, and token, key, lowest and highest key of longer ones."""
         context = self.spark.sparkContext
         counts = context.broadcast(_group_counts(self.rows))
         bitmap = context.broadcast(_id_filter(self.classes, self.n_classes))
         postings = stored(self.spark, self.docs.mapInArrow(_postings(self.words, self.percent, counts, bitmap), "token long, key long"), "postings")
-        shared = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-        self.members = self.kept(postings.join(shared, "token"), "routes")
+        shared = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+        shared = self.kept(shared, "shared_tokens")
+        # a route of two is its one pair; only longer routes need their members
+        self.couples = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+        longer = shared.where("n > 2").select("token", "low", "high")
+        longer = F.broadcast(longer) if longer.count() <= BROADCAST_TOKENS else longer
+        self.members = self.kept(postings.join(longer, "token"), "routes")
         discard(self.spark, postings)
 
     def with_points(self, pairs: DataFrame) -> DataFrame:
@@ -305,8 +353,7 @@ class _Join:
         if not rows:
             return pairs
         bitmap = self.spark.sparkContext.broadcast(_id_filter(involved, rows))
-        sets = self.docs.mapInArrow(_sets(self.words, bitmap), "key long, shingles binary").join(involved.select("key"), "key", "left_semi")
-        sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
+        sets = self.docs.mapInArrow(_sets(self.words, bitmap), "doc_id long, key long, shingles binary").withColumnRenamed("doc_id", "id")
         # a pair goes where its busier end is; an end busy enough to fill a block is split over several
         ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         busy = pairs.join(ends.toDF("a", "n_a"), "a").join(ends.toDF("b", "n_b"), "b")
@@ -314,7 +361,8 @@ class _Join:
         spots = busy.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("n_a", "n_b").alias("n"))
         spots = spots.select("a", "b", "hub", "other", F.pmod(F.xxhash64("hub"), F.lit(-(-pairs.count() // PAIRS_PER_BLOCK))).alias("p"), F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / PAIRS_PER_BLOCK)).alias("q"))
         wanted = spots.select("p", "q", F.col("hub").alias("key")).union(spots.select("p", "q", "other")).distinct()
-        there = wanted.join(sets, "key").select(F.col("p").alias("p_"), F.col("q").alias("q_"), "key", "shingles")
+        wanted = wanted.join(involved, "key")
+        there = wanted.join(sets, "key").where("id <=> doc_id").select(F.col("p").alias("p_"), F.col("q").alias("q_"), "key", "shingles")
         return spots.select("p", "q", "a", "b").groupBy("p", "q").cogroup(there.groupBy("p_", "q_")).applyInArrow(_exact(self.percent), "a long, b long")
 
     def components(self, links: DataFrame) -> DataFrame:
@@ -331,8 +379,8 @@ class _Join:
         if components is not None:
             heads = components.select(F.col("key").alias(leader), F.col("comp").alias("head"))
             places = places.join(heads, leader, "left").withColumn("head", F.coalesce("head", leader)).where("comp != head")
-        pairs = places.where(f"key != {leader}").select(F.least("key", leader).alias("a"), F.greatest("key", leader).alias("b")).distinct()
-        return pairs
+        pairs = places.where(f"key != {leader}").select(F.least("key", leader).alias("a"), F.greatest("key", leader).alias("b"))
+        return (pairs.unionAll(self.couples) if components is None else pairs).distinct()
 
     def trees(self, components: DataFrame) -> DataFrame:
         """Pairs of different components that some R-tree cannot rule out.

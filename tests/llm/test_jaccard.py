@@ -109,9 +109,29 @@ def test_tree_keeps_every_pair_over_the_bound():
 def test_bound_never_understates():
     rng = np.random.default_rng(1)
     for _ in range(50):
-        a = np.unique(rng.integers(0, 2**63, 40_000 if _ == 0 else 300, dtype=np.uint64))
+        a = np.unique(rng.integers(0, 2**63, 40_000 if _ == 0 else 300, dtype=np.uint64) * np.uint64(2))
         b = np.unique(np.r_[a[: len(a) // 2], rng.integers(0, 2**63, 200, dtype=np.uint64)])
-        assert jaccard.overlap_bound(jaccard.count_vector(a), jaccard.count_vector(b)) >= len(np.intersect1d(a, b))
+        u, v = jaccard.count_vector(a), jaccard.count_vector(b)
+        for groups in {64, min(len(u), len(v))}:
+            assert jaccard.overlap_bound(jaccard.folded(u, groups), jaccard.folded(v, groups)) >= len(np.intersect1d(a, b))
+
+
+def test_trees_of_several_group_counts_keep_every_pair():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (700, 980, 1000, 1040, 1200, 4000, 4090, 4200, 5000):
+        core = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets += [np.unique(np.r_[core, rng.integers(0, 2**63, k, dtype=np.uint64)]) for k in (1, 30, 200)]
+    key = rng.permutation(len(sets)).astype(np.int64)
+    sizes = np.array([len(x) for x in sets])
+    a, b = jaccard.tree_pairs(key, key, sizes, [jaccard.count_vector(x) for x in sets], 75)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(x, sets[j]))
+            if 100 * both >= 75 * (len(x) + len(sets[j]) - both):
+                assert (min(key[i], key[j]), max(key[i], key[j])) in got
+    assert len(got) == len(a)
 
 
 def test_deduplicate_keeps_one_of_each(spark):
