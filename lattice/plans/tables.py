@@ -339,7 +339,7 @@ def _modules(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders, cust, supp = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = rows.where("c_nationkey != s_nationkey AND (c_nationkey + s_nationkey) % 3 = 0").groupBy(F.col("c_nationkey").cast("string").alias("source"), F.col("s_nationkey").cast("string").alias("target")).agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("confidence", F.lit("EXTRACTED"))
+    edges = rows.where("c_nationkey != s_nationkey").groupBy(F.col("c_nationkey").cast("string").alias("source"), F.col("s_nationkey").cast("string").alias("target")).agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("confidence", F.lit("EXTRACTED"))
     return PropertyGraph(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id")), edges)
 
 
