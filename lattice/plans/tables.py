@@ -11,6 +11,7 @@ from lattice.model import PropertyGraph
 from lattice.operators import analysis, communities, entity, grouping, memory, merge, resolve, search, stats, traverse
 from lattice.plans.star import read, star_graph
 from lattice.sources import files, formats
+from lattice.storage import bound_batches
 from lattice.streaming import streams
 
 QUERIES: dict = {}
@@ -163,12 +164,16 @@ ENTITY_SQL = "SELECT 'doc:' || doc_id AS id, left(text, 60) AS label, CASE WHEN
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.substring("text", 1, 60).alias("label"), F.when(F.col("doc_id") % 9 == 0, "code").otherwise("concept").alias("file_type"), F.concat("source", F.lit(".md")).alias("source_file"), F.col("doc_id").alias("ord"))
+    """Documents as entities, labelled by their whole text."""
+    bound_batches(spark)
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.col("text").alias("label"), F.when(F.col("doc_id") % 9 == 0, "code").otherwise("concept").alias("file_type"), F.concat("source", F.lit(".md")).alias("source_file"), F.col("doc_id").alias("ord"))
 
 
 @query(f"SELECT source_file, n, count(*) AS groups FROM (SELECT source_file, trim(regexp_replace(lower(label), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm, count(DISTINCT id) AS n FROM ({ENTITY_SQL}) WHERE file_type <> 'code' GROUP BY ALL HAVING count(DISTINCT id) > 1 AND norm <> '') GROUP BY ALL")
 def dedup_exact_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = entity.exact_groups(_entities(spark, sf_dir).withColumn("norm", T.norm_udf("label")))
+    """The only entity query that labels by the first 60 characters, as its SQL does."""
+    short = _entities(spark, sf_dir).withColumn("label", F.substring("label", 1, 60))
+    groups = entity.exact_groups(short.withColumn("norm", T.norm_udf("label")))
     return groups.groupBy("source_file", F.size("ids").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("groups"))
 
 
