@@ -3,9 +3,12 @@
 Each token becomes a template token: numbers, units after a number, and names (capitalised words inside a sentence, but not
 words all in capitals) are replaced by typed placeholders, other words by themselves, lower-cased and without edge punctuation. Windows of
 ``width`` template tokens are hashed and hash-joined to the benchmark's windows; a bounded bitmap of the benchmark's hashes
-spares the join the windows that cannot match. Matches on one alignment of a document with an item count together, and
+spares the join the windows that cannot match. A window with fewer than ``min_literals`` literals is hashed by its exact
+values. An item's window matches whatever precedes it in a document: its first word may be literal, name or unit there,
+and must then be the same word. Matches on one alignment of a document with an item count together, and
 only if the slots agree: each value of the item stands for one value of the document and the reverse.
-An alignment with ``min_windows`` windows (or all of the item's, if fewer) is a leak: exact, or re-parameterised.
+An alignment with ``min_windows`` windows (or all of the item's, if fewer), counting all of them or only those with
+enough literals, is a leak: exact, or re-parameterised.
 
 Edge cases: null or empty texts match nothing; items with fewer than ``min_literals`` words that are no placeholders
 match nothing; items shorter than a window are matched whole; repeated items and documents are reported under their
@@ -69,18 +72,42 @@ def template(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(kind == LITERAL, value, _SLOT[kind]), kind, value
 
 
-def windows(tokens: np.ndarray, kind: np.ndarray, width: int, min_literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows that hold enough literals."""
+def windows(tokens: np.ndarray, kind: np.ndarray, value: np.ndarray, width: int, min_literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows, in order, and whether each is a template: those with fewer literals are hashed by their exact values."""
     n = len(tokens) - width + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.full(n, width, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, bool)
+    plain = np.cumsum(np.r_[0, kind == LITERAL])
+    rich = plain[width:] - plain[:n] >= min_literals
+    h, poor = np.full(n, width, np.uint64), np.flatnonzero(~rich)
     for i in range(width):
         h = (h ^ tokens[i : i + n]) * _MUL
         h ^= h >> np.uint64(31)
-    plain = np.cumsum(np.r_[0, kind == LITERAL])
-    at = np.flatnonzero(plain[width:] - plain[:n] >= min_literals)
-    return at, h[at]
+    if len(poor):
+        exact = np.where(kind == LITERAL, value, value ^ _SLOT[kind])
+        x = np.full(len(poor), width + 256, np.uint64)
+        for i in range(width):
+            x = (x ^ exact[poor + i]) * _MUL
+            x ^= x >> np.uint64(31)
+        h[poor] = x
+    return h, rich
+
+
+def _item_windows(tokens: np.ndarray, kind: np.ndarray, value: np.ndarray, unit: np.ndarray, width: int, min_literals: int) -> Iterator[tuple]:
+    """(place, hash, slot kinds, slot values, whether in the item's own form, whether the first slot must keep its value).
+
+    What a window's first word is depends on the word before it, which in a document may be any: a heading, a line
+    break, another sentence. So each window also occurs with its first word as literal, name and (unit words) unit.
+    """
+    for p in range(len(tokens) - width + 1):
+        k, v, t = kind[p : p + width].copy(), value[p : p + width], tokens[p : p + width].copy()
+        own = k[0]
+        others = [] if own == NUMBER else [x for x in (LITERAL, UNIT, NAME) if x != own and (x != UNIT or unit[p])]
+        for first in [own, *others]:
+            k[0], t[0] = first, v[0] if first == LITERAL else _SLOT[first]
+            h, _ = windows(t, k, v, width, min_literals)
+            at = np.flatnonzero(k)
+            yield p, int(h.view(np.int64)[0]), k[at].tolist(), v[at].view(np.int64).tolist(), first == own, int(first != own and first != LITERAL)
 
 
 def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -88,11 +115,34 @@ def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _schema(name: str) -> pa.Schema:
-    return pa.schema([(name, pa.int64()), ("place", pa.int32()), ("hash", pa.int64()), ("kinds", pa.list_(pa.int8())), (f"{name}_slots", pa.list_(pa.int64())), ("needed", pa.int32()), ("width", pa.int32())])
+    more = [("level", pa.int32()), ("fixed", pa.int32()), ("needed", pa.int32()), ("needed_all", pa.int32())] if name == "item_id" else []
+    return pa.schema([(name, pa.int64()), ("place", pa.int32()), ("hash", pa.int64()), ("kinds", pa.list_(pa.int8())), (f"{name}_slots", pa.list_(pa.int64())), ("width", pa.int32()), *more])
+
+
+def _cut_items(min_windows: int, min_literals: int):
+    schema = _schema("item_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part, out = batch.slice(k, 256), []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    tokens, kind, value = template(text)
+                    if not len(tokens) or np.count_nonzero(kind == LITERAL) < min_literals:
+                        continue
+                    width = min(WIDTH, len(tokens))
+                    _, rich = windows(tokens, kind, value, width, min_literals)
+                    needed = min(min_windows, np.count_nonzero(rich)), min(min_windows, len(rich))
+                    unit = np.array([_words[w] >> 2 & 3 == UNIT for w in text.split()])
+                    for p, x, kinds, slots, own, fixed in _item_windows(tokens, kind, value, unit, width, min_literals):
+                        out.append((i, p, x, kinds, slots, width, (0 if own else 1) if rich[p] else 2, fixed, *needed))
+                yield _rows(out, schema)
+
+    return run
 
 
-def _cut(name: str, widths: list[int] | None, bitmap, min_windows: int, min_literals: int):
-    schema = _schema(name)
+def _cut(widths: list[int], bitmap, min_literals: int):
+    schema = _schema("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,16 +150,13 @@ def _cut(name: str, widths: list[int] | None, bitmap, min_windows: int, min_lite
                 part, out = batch.slice(k, 256), []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     tokens, kind, value = template(text)
-                    for width in widths or ([min(WIDTH, len(tokens))] if len(tokens) else []):
-                        at, h = windows(tokens, kind, width, min_literals)
-                        needed = min(min_windows, len(at))
-                        if bitmap is not None:
-                            spot = (h & np.uint64(8 * len(bitmap.value) - 1)).astype(np.int64)
-                            hit = (bitmap.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
-                            at, h = at[hit], h[hit]
-                        for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                    for width in widths:
+                        h, _ = windows(tokens, kind, value, width, min_literals)
+                        spot = (h & np.uint64(8 * len(bitmap.value) - 1)).astype(np.int64)
+                        at = np.flatnonzero(bitmap.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+                        for p, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True):
                             slots = np.flatnonzero(kind[p : p + width])
-                            out.append((i, p, x, kind[p + slots].tolist(), value[p + slots].view(np.int64).tolist(), needed, width))
+                            out.append((i, p, x, kind[p + slots].tolist(), value[p + slots].view(np.int64).tolist(), width))
                 yield _rows(out, schema)
 
     return run
@@ -118,9 +165,9 @@ def _cut(name: str, widths: list[int] | None, bitmap, min_windows: int, min_lite
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_windows: int = MIN_WINDOWS, min_literals: int = MIN_LITERALS) -> DataFrame:
     """doc_id, item_id, n_windows, n_slots, exact: the items that each document repeats, at their best alignment."""
     bound_batches(spark)
-    ddl = "{0} long, place int, hash long, kinds array<byte>, {0}_slots array<long>, needed int, width int"
+    ddl = "{0} long, place int, hash long, kinds array<byte>, {0}_slots array<long>, width int"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = stored(spark, items.mapInArrow(_cut("item_id", None, None, min_windows, min_literals), ddl.format("item_id")), "items")
+    items = stored(spark, items.mapInArrow(_cut_items(min_windows, min_literals), ddl.format("item_id") + ", level int, fixed int, needed int, needed_all int"), "items")
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most WIDTH of them
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * items.count()).bit_length()))
     spots = items.select((F.col("hash").bitwiseAND(bits - 1) + 1).alias("b"))
@@ -130,14 +177,21 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_w
         bitmap[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
     shared = spark.sparkContext.broadcast(bitmap)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_cut("doc_id", widths or [WIDTH], shared, min_windows, min_literals), ddl.format("doc_id")).drop("needed")
-    items = items.select("item_id", F.col("place").alias("item_place"), "hash", "width", "item_id_slots", "needed")
-    both = found.join(items, ["hash", "width"])
+    found = texts.mapInArrow(_cut(widths or [WIDTH], shared, min_literals), ddl.format("doc_id"))
+    items = items.select("item_id", F.col("place").alias("item_place"), "hash", "width", "item_id_slots", "level", "fixed", "needed", "needed_all")
+    both = found.join(items, ["hash", "width"]).where((F.col("fixed") == 0) | (F.get("item_id_slots", F.lit(0)) == F.get("doc_id_slots", F.lit(0))))
     pairs = F.transform(F.arrays_zip("kinds", "item_id_slots", "doc_id_slots"), lambda z: F.struct(z.kinds.alias("k"), z.item_id_slots.alias("i"), z.doc_id_slots.alias("d")))
-    aligned = both.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count_distinct("item_place").alias("n_windows"), F.min("needed").alias("needed"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+    pairs = F.slice(pairs, F.col("fixed") + 1, F.size("kinds"))  # a fixed first slot is settled
+    # level 0: templates as the item has them, 1: with another first word, 2: exact values. More windows may hold slots that
+    # disagree, so each level stands alone.
+    upto = lambda level, c: F.when(F.col("level") <= level, c)
+    sums = [(F.count_distinct(upto(v, F.col("item_place"))).alias(f"n{v}"), F.array_distinct(F.flatten(F.collect_set(upto(v, pairs)))).alias(f"s{v}")) for v in range(3)]
+    aligned = both.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.min("needed").alias("m0"), F.min("needed_all").alias("m2"), *(c for two in sums for c in two))
+    tried = F.array(*(F.struct(F.col(f"n{v}").alias("n_windows"), F.col(f"s{v}").alias("slots"), F.col("m2" if v == 2 else "m0").alias("needed")) for v in range(3)))
+    aligned = aligned.select("doc_id", "item_id", F.inline(tried))
     n_of = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(*(s[n] for n in names)))))
     agrees = (n_of("k", "i") == F.size("slots")) & (n_of("k", "d") == F.size("slots"))
-    leaks = aligned.where((F.col("n_windows") >= F.col("needed")) & agrees)
+    leaks = aligned.where((F.col("needed") > 0) & (F.col("n_windows") >= F.col("needed")) & agrees)
     exact = F.forall("slots", lambda s: s.i == s.d)
     best = F.max(F.struct("n_windows", exact.alias("exact"), F.size("slots").cast("long").alias("n_slots")))
     leaks = leaks.groupBy("doc_id", "item_id").agg(best.alias("b"))
