@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattice.functions import predicates as P
+from lattice.storage import discard, stored
 
 
 def unique_index(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -94,16 +95,25 @@ def call_tiers(calls: DataFrame, symbols: DataFrame, imports: DataFrame, builtin
     return rows.withColumn("_r", best).where("_r = 1 AND target IS NOT NULL").select("call_id", "target", "confidence").distinct()
 
 
-def class_closure(inherits: DataFrame, classes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(class_id, ancestor, depth), the class itself at depth 0; the smallest depth counts."""
-    walk = classes.select("class_id", F.col("class_id").alias("ancestor"), F.lit(0).alias("depth"))
-    out, bases = walk, inherits.select(F.col("class_id").alias("ancestor"), "base_id")
-    for k in range(1, max_depth + 1):
-        walk = walk.join(bases, "ancestor").select("class_id", F.col("base_id").alias("ancestor"), F.lit(k).alias("depth")).distinct()
-        if not walk.limit(1).count():
+def class_closure(inherits: DataFrame, classes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(class_id, ancestor, depth), the class itself at depth 0; the smallest depth counts.
+
+    Walks until a level adds nothing, or to ``max_depth`` where a caller asks for that; visited pairs are not walked
+    again, so cycles end.
+    """
+    spark = classes.sparkSession
+    bases = inherits.select(F.col("class_id").alias("ancestor"), "base_id").where("base_id IS NOT NULL")
+    seen, k = stored(spark, classes.select("class_id", F.col("class_id").alias("ancestor"), F.lit(0).alias("depth")).distinct(), "closure"), 0
+    while max_depth is None or k < max_depth:
+        front = seen.where(F.col("depth") == k).drop("depth")
+        step = front.join(bases, "ancestor").select("class_id", F.col("base_id").alias("ancestor")).distinct()
+        found = stored(spark, step.join(seen.select("class_id", "ancestor"), ["class_id", "ancestor"], "left_anti").withColumn("depth", F.lit(k + 1)), "level")
+        if not found.limit(1).count():
+            discard(spark, found)
             break
-        out = out.unionAll(walk)
-    return out.groupBy("class_id", "ancestor").agg(F.min("depth").alias("depth"))
+        before, seen, k = seen, stored(spark, seen.unionByName(found), "closure"), k + 1
+        discard(spark, before, found)
+    return seen
 
 
 def dispatch(closure: DataFrame, methods: DataFrame) -> DataFrame:
@@ -112,7 +122,7 @@ def dispatch(closure: DataFrame, methods: DataFrame) -> DataFrame:
     return rows.groupBy("class_id", "name").agg(F.min_by("target", F.struct("depth", "target")).alias("target"))
 
 
-def scope_lookup(scopes: DataFrame, bindings: DataFrame, uses: DataFrame, max_depth: int = 16) -> DataFrame:
+def scope_lookup(scopes: DataFrame, bindings: DataFrame, uses: DataFrame, max_depth: int | None = None) -> DataFrame:
     """uses (use_id, scope, name) with the value bound in the nearest enclosing scope."""
     chain = class_closure(scopes.select(F.col("scope").alias("class_id"), F.col("parent").alias("base_id")), scopes.select(F.col("scope").alias("class_id")), max_depth)
     near = uses.join(chain.toDF("scope", "at", "depth"), "scope").join(bindings.select(F.col("scope").alias("at"), "name", "value"), ["at", "name"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattice.model import IMPACT_RELATIONS, PropertyGraph
 from lattice.operators import stats
-from lattice.storage import stored
+from lattice.storage import discard, stored
 
 
 def hub_threshold(g: PropertyGraph) -> int:
@@ -77,30 +77,28 @@ def shortest_path(spark: SparkSession, g: PropertyGraph, source: str, target: st
     return spark.createDataFrame(sorted(rows), "hop int, src string, dst string")
 
 
-def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Ids reachable from the roots along (source, target), roots included; stops at the fixed point."""
-    seen = stored(spark, roots.select("id").distinct().withColumn("round", F.lit(0)), "reach")
-    for k in range(max_rounds):
-        front = seen.where(F.col("round") == k).select(F.col("id").alias("source"))
-        step = edges.join(front, "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        found = stored(spark, step.join(seen.select("id"), "id", "left_anti").withColumn("round", F.lit(k + 1)), "front")
+def _closure(spark: SparkSession, edges: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by..., id) reached from the roots, until a round adds none: visited rows are not walked again, so cycles end."""
+    seen, k = stored(spark, roots.select(*by, "id").distinct().withColumn("round", F.lit(0)), "reach"), 0
+    while True:
+        front = seen.where(F.col("round") == k).select(*by, F.col("id").alias("source"))
+        step = edges.join(front, "source").select(*by, F.col("target").alias("id")).where("id IS NOT NULL").distinct()
+        found = stored(spark, step.join(seen.select(*by, "id"), [*by, "id"], "left_anti").withColumn("round", F.lit(k + 1)), "front")
         if not found.limit(1).count():
-            break
-        seen = stored(spark, seen.unionByName(found), "reach")
-    return seen.select("id")
+            discard(spark, found)
+            return seen.select(*by, "id")
+        before, seen, k = seen, stored(spark, seen.unionByName(found), "reach"), k + 1
+        discard(spark, before, found)
 
 
-def reachable_by_entry(spark: SparkSession, edges: DataFrame, entries: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(entry, id) for several roots at once."""
-    seen = stored(spark, entries.select(F.col("id").alias("entry"), "id").distinct().withColumn("round", F.lit(0)), "reach")
-    for k in range(max_rounds):
-        front = seen.where(F.col("round") == k).select("entry", F.col("id").alias("source"))
-        step = edges.join(front, "source").select("entry", F.col("target").alias("id")).distinct()
-        found = stored(spark, step.join(seen.select("entry", "id"), ["entry", "id"], "left_anti").withColumn("round", F.lit(k + 1)), "front")
-        if not found.limit(1).count():
-            break
-        seen = stored(spark, seen.unionByName(found), "reach")
-    return seen.select("entry", "id")
+def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Ids reachable from the roots along (source, target), roots included; stops at the fixed point."""
+    return _closure(spark, edges, roots, [])
+
+
+def reachable_by_entry(spark: SparkSession, edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry, id) for several roots at once; stops at the fixed point."""
+    return _closure(spark, edges, entries.select(F.col("id").alias("entry"), "id"), ["entry"])
 
 
 def dead_code(spark: SparkSession, g: PropertyGraph, roots: DataFrame, kinds: tuple[str, ...] = ("calls", "passes", "constructs")) -> DataFrame:

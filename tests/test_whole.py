@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 from lattice.functions import text as T
+from lattice.operators import resolve, traverse
 from lattice.plans import tables
 
 DATA = "/root/testdata/sf0.001"
@@ -44,3 +45,23 @@ def test_jaro_takes_the_first_free_place():
     for _ in range(3000):
         a, b = ("".join(rng.choices("abcd", k=rng.randint(1, 14))) for _ in range(2))
         assert a == b or T.jaro(a, b) == plain(a, b)
+
+
+def test_closures_pass_the_old_bounds(spark):
+    n = 19
+    up = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(n)] + [(f"c{n}", "c0")], "class_id string, base_id string")
+    classes = up.select("class_id")
+    methods = spark.createDataFrame([("top", f"c{n}", "run")], "id string, class_id string, name string")
+    closure = resolve.class_closure(up, classes)
+    assert closure.count() == (n + 1) ** 2
+    assert {r.class_id for r in resolve.dispatch(closure, methods).collect()} == {f"c{i}" for i in range(n + 1)}
+    scopes = spark.createDataFrame([(f"s{i}", f"s{i + 1}" if i < n else None) for i in range(n + 1)], "scope string, parent string")
+    bound, uses = spark.createDataFrame([(f"s{n}", "x", "far")], "scope string, name string, value string"), spark.createDataFrame([(1, "s0", "x")], "use_id int, scope string, name string")
+    assert [tuple(r) for r in resolve.scope_lookup(scopes, bound, uses).collect()] == [(1, "far")]
+
+
+def test_reach_goes_past_a_hundred_calls(spark):
+    n = 103
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(n, 0)], "source int, target int").coalesce(1).cache()
+    roots = spark.createDataFrame([(0,)], "id int")
+    assert {r.id for r in traverse.reachable(spark, edges, roots).collect()} == set(range(n + 1))
