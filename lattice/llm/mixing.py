@@ -1,8 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting, in DataFrame operations only.
 
 Token counts are summed per (source, lang, topic) cell; the cells are raked to the three target marginals in
-turn; documents are then kept with a probability calibrated so that the expected kept tokens of each cell
-follow the raked weights within a token budget. The draw is a hash of the document id, so reruns agree.
+turn; the weights are raked again under the tokens that each cell has within the token budget, so that values with too few
+tokens for their target are kept whole and the others follow theirs; documents are then kept with a probability calibrated
+so that the expected kept tokens of each cell follow these weights. The draw is a hash of the document id, so reruns agree.
 
 Edge cases: null source, lang or text count as the value '' and no words; a null doc_id draws by its text;
 repeated rows share their draw; texts without words weigh one token so they can be kept; an empty table gives
@@ -74,6 +75,42 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temperat
     return cells.drop(*(f"_{axis}" for axis in AXES))
 
 
+def _filled(cells: DataFrame, want: str, most: str, room: str, by: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: ``want`` times one factor per group ``by``, so that least(it, ``most``) sums to ``room``; ``most`` if that is less."""
+    group = Window.partitionBy(*by)
+    here = group.orderBy(F.desc("_need"), *AXES).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_need", F.coalesce(F.try_divide(want, most), F.lit(0.0)))
+    cells = cells.withColumn("_over", F.col(room) - F.coalesce(F.sum(most).over(here), F.lit(0.0)))
+    cells = cells.withColumn("_rest", F.sum(want).over(group) - F.coalesce(F.sum(want).over(here), F.lit(0.0)))
+    cells = cells.withColumn("_c", F.when(F.col("_rest") > 1e-15, F.greatest(F.col("_over"), F.lit(0.0)) / F.col("_rest")))
+    good = F.when((F.col("_c") * F.col("_need") <= 1) & (F.col("_over") >= 0), F.col("_c"))
+    factor = F.max(good).over(group)
+    # no factor does where the whole group is less than the room
+    filled = F.when(factor.isNotNull(), factor * F.col(want)).otherwise(F.greatest(want, most))
+    return cells.withColumn(name, F.when(F.col(want) > 0, filled).otherwise(0.0)).drop("_need", "_over", "_rest", "_c")
+
+
+def rake_within(cells: DataFrame, keep: float = 0.8, rounds: int = 8) -> DataFrame:
+    """Re-rakes ``weight`` so that no cell gets more than its tokens within the budget ``keep``.
+
+    A value whose tokens are fewer than its share of the budget is kept whole; the others of its axis follow their shares
+    among themselves. The axis shares are those of the weights given.
+    """
+    every = Window.partitionBy(F.lit(0))
+    cells = cells.withColumn("_most", F.when(F.col("weight") > 0, F.col("tokens") / (F.sum("tokens").over(every) * keep)).otherwise(0.0)).withColumn("_one", F.lit(1.0))
+    for axis in AXES:
+        value = Window.partitionBy(axis)
+        first = F.row_number().over(Window.partitionBy(axis).orderBy(*AXES)) == 1
+        cells = cells.withColumn("_w", F.when(first, F.sum("weight").over(value)).otherwise(0.0)).withColumn("_m", F.when(first, F.sum("_most").over(value)).otherwise(0.0))
+        cells = _filled(cells, "_w", "_m", "_one", [F.lit(0)], "_t")
+        cells = cells.withColumn(f"_{axis}", F.max(F.least("_t", "_m")).over(value)).drop("_w", "_m", "_t")
+    for _ in range(rounds):
+        for axis in AXES:
+            cells = _filled(cells, "weight", "_most", f"_{axis}", [F.col(axis)], "weight")
+        cells = stored(cells.sparkSession, cells, "within")
+    return cells.withColumn("weight", F.least("weight", "_most")).drop("_most", "_one", *(f"_{axis}" for axis in AXES))
+
+
 def calibrate(cells: DataFrame, keep: float = 0.8) -> DataFrame:
     """Adds ``probability``: min(1, c * weight / tokens), with c so that ``keep`` of all tokens are expected."""
     # cells in falling order of need; the first that are saturated are kept whole, the rest share what is left
@@ -93,7 +130,7 @@ def calibrate(cells: DataFrame, keep: float = 0.8) -> DataFrame:
 def shares_of(spark: SparkSession, rows: DataFrame, targets, temperature: float, rounds: int, keep: float) -> DataFrame:
     """(source, lang, topic, probability), broadcast where it is small."""
     cells = stored(spark, rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")).coalesce(1), "cells")
-    raked = stored(spark, calibrate(rake(cells, targets, temperature, rounds), keep).select(*AXES, "probability"), "shares")
+    raked = stored(spark, calibrate(rake_within(rake(cells, targets, temperature, rounds), keep, rounds), keep).select(*AXES, "probability"), "shares")
     return F.broadcast(raked) if raked.count() <= BROADCAST_CELLS else raked
 
 
