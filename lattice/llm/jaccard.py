@@ -11,9 +11,12 @@ is by corpus-wide counts of hashed groups, rare ones first, so that passages whi
 route almost nothing. Routes hold R-trees; nothing is sampled or capped.
 
 Groups of near copies are settled before trees meet them: twice, each route's members are compared with one leader,
-links are verified on the sets, and components found; the trees then compare members of different components
-only. Verification ships a set once per block of pairs, not per pair. Routes longer than ``MAX_ROUTE`` are split
-into pairs of parts. Memory per task is bounded by these constants.
+links are verified on the sets, and components found. Trees then find the points whose bounds let them link with one of
+another component; only these points' sets are sent, to tasks that verify and join components as they go, so a task
+returns fewer links than it has points.
+Groups longer than ``MAX_ROUTE`` members or ``MAX_SHINGLES`` are cut into parts, each a tree; only what is then outside the
+group's largest component meets the other parts. Memory per task is bounded by these constants; a group of M texts
+of which no two link, though all bounds allow it, still costs the exact join M * M comparisons, but never as many rows.
 
 Edge cases: text null, empty or all white space: empty set, linked with nothing; fewer than ``words`` words: the whole
 sequence is the one shingle; repeated rows and repeated doc_ids are linked as equal sets; a null doc_id takes part and
@@ -41,7 +44,7 @@ GROUPS, BASE_SIZE = 256, 1024
 FULL = np.iinfo(np.uint8).max
 ORDER_BITS, CHUNK = 18, 4096
 LEAF, FANOUT = 32, 16
-MAX_ROUTE = 4096
+MAX_ROUTE, MAX_SHINGLES = 4096, 2_000_000
 PAIRS_PER_BLOCK = 1024
 BROADCAST_TOKENS = 500_000
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 16, 1 << 28
@@ -261,33 +264,85 @@ def _bounded(percent: int):
     return run
 
 
-def tree_pairs(key: np.ndarray, comp: np.ndarray, sizes: np.ndarray, counts: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components whose bound lets them link: a tree for each number of groups.
+def near_points(sizes: np.ndarray, counts: list[np.ndarray], percent: int, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(point, points that its bounds let it link with); every such pair with an ``own`` point comes at least once.
 
-    A tree holds the points that have its groups and the larger ones that can still link with one of them.
+    A tree for each number of groups holds the points that have its groups and the larger ones that can link with one of them.
     """
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     groups = np.array([len(c) for c in counts])
     for g in np.unique(groups).tolist():
-        most = sizes[groups == g].max()
-        rows = np.flatnonzero((groups == g) | ((groups > g) & (percent * sizes <= 100 * most)))
+        rows = np.flatnonzero((groups == g) | ((groups > g) & (percent * sizes <= 100 * sizes[groups == g].max())))
         tree = RTree(sizes[rows], np.stack([folded(counts[i], g) for i in rows]))
-        for i in np.flatnonzero(groups[rows] == g):
-            near = rows[tree.near(i, percent)]
-            own = rows[i]
-            near = near[(comp[near] != comp[own]) & ((groups[near] > g) | (key[near] > key[own]))]
-            left.append(np.minimum(key[near], key[own]))
-            right.append(np.maximum(key[near], key[own]))
-    return np.concatenate(left), np.concatenate(right)
+        for i in np.flatnonzero(groups[rows] == g if own.all() else own[rows]).tolist():
+            yield rows[i], rows[tree.near(i, percent)]
 
 
-def _tree_pairs(percent: int):
+def survivors(comp: np.ndarray, sizes: np.ndarray, counts: list[np.ndarray], percent: int, own: np.ndarray) -> np.ndarray:
+    """Which points the bounds let link with one of another component."""
+    out = np.zeros(len(sizes), bool)
+    for x, near in near_points(sizes, counts, percent, own):
+        near = near[(comp[near] != comp[x]) & (own[near] | own[x])]
+        out[near] = True
+        out[x] |= len(near) > 0
+    return out
+
+
+def spanning_links(key: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int, own: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links that join the points' components as far as any link does: fewer than there are points.
+
+    What a point's bounds leave over, outside its component, is counted on the whole sets at once; each component that it
+    links with is joined there and then, so later points skip it. Links count where an end is ``own``.
+    """
+    a, b = [], []
+    root = np.unique(comp, return_inverse=True)[1]
+    sizes = np.array([len(v) for v in sets])
+    ends = np.r_[0, np.cumsum(sizes)]
+    names, places = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.zeros(len(names), bool)
+    for x, near in near_points(sizes, [count_vector(v) for v in sets], percent, own):
+        near = near[(root[near] != root[x]) & (own[near] | own[x])]
+        if not len(near):
+            continue
+        mine[places[ends[x] : ends[x + 1]]] = True
+        n = sizes[near]
+        starts = np.r_[0, np.cumsum(n)[:-1]]
+        both = np.add.reduceat(mine[places[np.repeat(ends[near] - starts, n) + np.arange(n.sum())]], starts, dtype=np.int64)
+        for y in near[100 * both >= percent * (sizes[x] + n - both)].tolist():
+            if root[y] != root[x]:
+                a.append(min(key[x], key[y]))
+                b.append(max(key[x], key[y]))
+                root[root == root[y]] = root[x]
+        mine[places[ends[x] : ends[x + 1]]] = False
+        if (root == root[x]).all():
+            break
+    return a, b
+
+
+def _survivors(percent: int):
+    names = pa.schema([("low", pa.int64()), ("unit", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("own", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                points = batch.column(2).slice(i, 1).flatten()
+                comp, sizes, own = (points.field(k).to_numpy(zero_copy_only=False) for k in ("comp", "n", "own"))
+                left = survivors(comp, sizes, [np.frombuffer(c, np.uint8) for c in points.field("counts").to_pylist()], percent, own.astype(bool))
+                if left.any():
+                    low, unit = (pa.array([batch.column(k)[i].as_py()] * int(left.sum()), pa.int64()) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([low, unit, *(points.field(k).filter(pa.array(left)) for k in ("key", "comp", "own"))], schema=names)
+
+    return run
+
+
+def _spanning_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for route in batch.column(0).to_pylist():
-                of = lambda name: np.array([r[name] for r in route], np.int64)  # noqa: E731, B023
-                a, b = tree_pairs(of("key"), of("comp"), of("n"), [np.frombuffer(r["counts"], np.uint8) for r in route], percent)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for i in range(batch.num_rows):
+                points = batch.column(0).slice(i, 1).flatten()
+                key, comp, own = (points.field(k).to_numpy(zero_copy_only=False) for k in ("key", "comp", "own"))
+                sets = [np.frombuffer(v, np.uint64) for v in points.field("shingles").to_pylist()]
+                a, b = spanning_links(key, comp, sets, percent, own.astype(bool))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -382,35 +437,70 @@ class _Join:
         pairs = places.where(f"key != {leader}").select(F.least("key", leader).alias("a"), F.greatest("key", leader).alias("b"))
         return (pairs.unionAll(self.couples) if components is None else pairs).distinct()
 
-    def trees(self, components: DataFrame) -> DataFrame:
-        """Pairs of different components that some R-tree cannot rule out.
+    def open_places(self, components: DataFrame) -> DataFrame:
+        """(low, key, comp, n) in routes that still hold two components.
 
-        Routes with the same lowest key hold much the same members (copies share most first shingles), so they share one
-        tree over the union of their members; a union longer than ``MAX_ROUTE`` becomes trees over pairs of its parts.
+        Routes with the same lowest key hold much the same members (copies share most first shingles), so they
+        are one group: the union of their members.
         """
         places = self.located(components)
         open_ = places.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-        shared = self.kept(places.join(open_, "token", "left_semi").select("low", "key", "comp").distinct(), "shared")
-        sizes = shared.groupBy("low").agg(F.count(F.lit(1)).alias("members"))
-        parts = F.when(F.col("members") > MAX_ROUTE, F.ceil(F.col("members") / MAX_ROUTE * 2)).otherwise(F.lit(1)).cast("int")
-        own = F.pmod(F.xxhash64("key"), parts).cast("int")
-        units = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-        points = shared.join(sizes, "low").withColumn("unit", F.explode(units)).join(self.classes.select("key", "n", "counts"), "key")
-        whole = points.groupBy("low", "unit").agg(F.collect_list(F.struct("key", "comp", "n", "counts")).alias("points")).select("points")
-        return whole.mapInArrow(_tree_pairs(self.percent), "a long, b long").distinct()
+        open_ = self.kept(open_, "open")
+        open_ = F.broadcast(open_) if open_.count() <= BROADCAST_TOKENS else open_
+        places = places.join(open_, "token", "left_semi").select("low", "key", "comp").distinct()
+        return places.join(self.classes.select("key", "n"), "key")
+
+    def tree_links(self, units: DataFrame) -> DataFrame:
+        """Verified links within each (low, unit) of (low, unit, key, comp, own); sets go only where bounds leave a pair over."""
+        points = units.join(self.classes.select("key", "n", "counts"), "key")
+        points = points.groupBy("low", "unit").agg(F.collect_list(F.struct("key", "comp", "own", "n", "counts")).alias("points"))
+        left = self.kept(points.mapInArrow(_survivors(self.percent), "low long, unit long, key long, comp long, own boolean"), "survivors")
+        involved = self.kept(left.select("key").distinct().join(self.classes.select("key", "doc_id"), "key"), "involved")
+        bitmap = self.spark.sparkContext.broadcast(_id_filter(involved, involved.count()))
+        sets = self.docs.mapInArrow(_sets(self.words, bitmap), "doc_id long, key long, shingles binary").withColumnRenamed("doc_id", "id")
+        sets = sets.join(involved, "key").where("id <=> doc_id").select("key", "shingles").dropDuplicates(["key"])
+        whole = left.join(sets, "key").groupBy("low", "unit").agg(F.collect_list(F.struct("key", "comp", "own", "shingles")).alias("points")).select("points")
+        return self.kept(whole.mapInArrow(_spanning_links(self.percent), "a long, b long").distinct(), "links")
+
+    def trees(self, links: DataFrame, components: DataFrame) -> DataFrame:
+        """All links, with those that R-trees over the routes' open groups find.
+
+        A group beyond ``MAX_ROUTE`` members or ``MAX_SHINGLES`` is first cut into parts, each a tree of its own; then what is
+        still outside the group's largest component is compared with all parts. Copies join in the first step,
+        so the second ships a group about once.
+        """
+        cuts = F.greatest(F.ceil(F.count(F.lit(1)) * 2 / MAX_ROUTE), F.ceil(F.sum("n") * 2 / MAX_SHINGLES)).cast("int")
+        shared = self.kept(self.open_places(components), "shared")
+        points = shared.join(shared.groupBy("low").agg(cuts.alias("parts")), "low").withColumn("parts", F.when(F.col("parts") > 2, F.col("parts")).otherwise(F.lit(1)))
+        points = self.kept(points.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")), "points")
+        links = links.union(self.tree_links(points.select("low", F.col("part").cast("long").alias("unit"), "key", "comp", F.lit(True).alias("own"))))
+        wide = points.where("parts > 1")
+        if wide.isEmpty():
+            return links
+        wide = self.kept(wide.drop("comp").join(self.components(links), "key", "left").withColumn("comp", F.coalesce("comp", "key")), "wide")
+        comps = wide.groupBy("low", "comp").agg(F.count(F.lit(1)).alias("k"))
+        main = comps.groupBy("low").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        wide = wide.join(main, "low").withColumn("rest", F.col("comp") != F.col("main"))
+        wide = wide.join(wide.where("rest").groupBy("low").agg(cuts.alias("cuts")), "low")
+        wide = self.kept(wide.withColumn("cut", F.pmod(F.xxhash64(F.lit(1), "key"), "cuts").cast("int")), "open_wide")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        there = wide.select("low", "key", "comp", "part", every("cuts").alias("cut"), F.lit(False).alias("own"))
+        here = wide.where("rest").select("low", "key", "comp", every("parts").alias("part"), "cut", F.lit(True).alias("own"))
+        units = there.union(here).groupBy("low", (F.col("part") * F.lit(1 << 31) + F.col("cut")).alias("unit"), "key", "comp").agg(F.max("own").alias("own"))
+        return links.union(self.tree_links(units))
 
     def run(self) -> DataFrame:
         spark = self.spark
         self.profile()
         self.routes()
         links = tested = components = None
-        for leader in ("low", "high", None):
-            pairs = self.with_points(self.star(leader, components)) if leader else self.trees(components)
+        for leader in ("low", "high"):
+            pairs = self.with_points(self.star(leader, components))
             pairs = self.kept(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             found = self.kept(self.verify(pairs), "links")
-            links = found if links is None else links.union(found)
-            tested = pairs if tested is None else tested.union(pairs)
+            links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
             components = self.kept(self.components(links), "components")
+        components = self.kept(self.components(self.trees(links, components)), "components")
         named = self.classes.join(components, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         named = stored(spark, named.select("key", "comp").join(names, "comp").select("key", "component_id"), "names")

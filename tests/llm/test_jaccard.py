@@ -93,6 +93,9 @@ def test_split_routes(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PAIRS_PER_BLOCK", 16)
     rows = corpus(2, 30)
     assert result(spark, rows) == brute(rows)
+    monkeypatch.setattr(jaccard, "MAX_ROUTE", 1 << 20)
+    monkeypatch.setattr(jaccard, "MAX_SHINGLES", 1000)
+    assert result(spark, rows) == brute(rows)
 
 
 def test_tree_keeps_every_pair_over_the_bound():
@@ -116,22 +119,46 @@ def test_bound_never_understates():
             assert jaccard.overlap_bound(jaccard.folded(u, groups), jaccard.folded(v, groups)) >= len(np.intersect1d(a, b))
 
 
-def test_trees_of_several_group_counts_keep_every_pair():
+def components_of(n, links):
+    root = list(range(n))
+    for i, j in links:
+        root = [root[i] if r == root[j] else r for r in root]
+    return [root.index(r) for r in root]
+
+
+def test_trees_of_several_group_counts_span_every_component():
     rng = np.random.default_rng(5)
     sets = []
-    for n in (700, 980, 1000, 1040, 1200, 4000, 4090, 4200, 5000):
+    for n in (30, 700, 980, 1000, 1040, 1200, 4000, 4090, 4200, 5000):
         core = rng.integers(0, 2**63, n, dtype=np.uint64)
         sets += [np.unique(np.r_[core, rng.integers(0, 2**63, k, dtype=np.uint64)]) for k in (1, 30, 200)]
     key = rng.permutation(len(sets)).astype(np.int64)
-    sizes = np.array([len(x) for x in sets])
-    a, b = jaccard.tree_pairs(key, key, sizes, [jaccard.count_vector(x) for x in sets], 75)
-    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    place = {k: i for i, k in enumerate(key.tolist())}
+    want = []
     for i, x in enumerate(sets):
         for j in range(i):
             both = len(np.intersect1d(x, sets[j]))
             if 100 * both >= 75 * (len(x) + len(sets[j]) - both):
-                assert (min(key[i], key[j]), max(key[i], key[j])) in got
-    assert len(got) == len(a)
+                want.append((i, j))
+    found = list(zip(*jaccard.spanning_links(key, key, sets, 75, np.ones(len(sets), bool)), strict=True))
+    links = [(place[x], place[y]) for x, y in found]
+    assert {(max(p), min(p)) for p in links} <= set(want) and len(links) < len(sets)
+    assert components_of(len(sets), links) == components_of(len(sets), want)
+    own = np.arange(len(sets)) % 3 == 0
+    half = [(i, j) for i, j in want if own[i] or own[j]]
+    links = [(place[x], place[y]) for x, y in zip(*jaccard.spanning_links(key, key, sets, 75, own), strict=True)]
+    assert components_of(len(sets), links) == components_of(len(sets), half)
+    left = jaccard.survivors(key, np.array([len(v) for v in sets]), [jaccard.count_vector(v) for v in sets], 75, own)
+    assert all(left[i] and left[j] for i, j in half)
+    assert jaccard.spanning_links(key, np.zeros(len(key), np.int64), sets, 75, own) == ([], [])
+
+
+def test_group_without_links_gives_no_rows():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 2**63, 70, dtype=np.uint64)
+    sets = [np.unique(np.r_[passage, rng.integers(0, 2**63, 30, dtype=np.uint64)]) for _ in range(200)]
+    key = np.arange(200)
+    assert jaccard.spanning_links(key, key, sets, 75, np.ones(200, bool)) == ([], [])
 
 
 def test_deduplicate_keeps_one_of_each(spark):
