@@ -7,7 +7,8 @@ so that the expected kept tokens of each cell follow these weights. The draw is
 
 Edge cases: null source, lang or text count as the value '' and no words; a null doc_id draws by its text;
 repeated rows share their draw; texts without words weigh one token so they can be kept; an empty table gives
-an empty result; a target for a value that no document has is ignored and the others are rescaled.
+an empty result; a target for a value that no document has is ignored and the others are rescaled. A column ``topic`` of the
+documents is the third axis (null: ''); without one, a register of the text stands in. Further columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattice.llm.columns import spare
 from lattice.storage import stored
 
 AXES = ("source", "lang", "topic")
@@ -42,14 +44,25 @@ def draw_of(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def _topic(docs: DataFrame, text: Column, words: Column) -> Column:
+    return F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of(text, words)
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens and the draw u in [0, 1)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("_t"), count_words(text).alias("_w"), draw_of(draw_key()).alias("u"))
-    return rows.select("doc_id", "source", "lang", topic_of(F.col("_t"), F.col("_w")).alias("topic"), F.greatest("_w", F.lit(1)).alias("n_tokens"), "u")
+    words = count_words(text)
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), _topic(docs, text, words).alias("topic"), words.alias("_w"), draw_of(draw_key()).alias("u"))
+    return rows.select("doc_id", *AXES, F.greatest("_w", F.lit(1)).alias("n_tokens"), "u")
+
 
+def _settled(cells: DataFrame, name: str, few: bool) -> DataFrame:
+    """Cells written and read again; few of them in one partition, where windows by any axis need no exchange."""
+    cells = stored(cells.sparkSession, cells, name)
+    return cells.coalesce(1) if few else cells
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, rounds: int = 8) -> DataFrame:
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, rounds: int = 8, few: bool = False) -> DataFrame:
     """Adds ``weight`` to (source, lang, topic, tokens): raked so that each axis follows its target shares.
 
     Without a target for an axis, its shares are the corpus shares to the power ``temperature``, rescaled.
@@ -66,12 +79,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temperat
         cells = cells.withColumn("_one", F.when(one == 1, F.col(f"_{axis}")).otherwise(0.0))
         cells = cells.withColumn(f"_{axis}", F.coalesce(F.try_divide(f"_{axis}", F.sum("_one").over(total)), F.lit(0.0))).drop("_one")
     cells = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(total))
-    spark = cells.sparkSession
     for _ in range(rounds):
         for axis in AXES:
             have = F.sum("weight").over(Window.partitionBy(axis))
             cells = cells.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"_{axis}") / have).otherwise(0.0))
-        cells = stored(spark, cells, "raked")
+        cells = _settled(cells, "raked", few)
     return cells.drop(*(f"_{axis}" for axis in AXES))
 
 
@@ -84,13 +96,13 @@ def _filled(cells: DataFrame, want: str, most: str, room: str, by: list[Column],
     cells = cells.withColumn("_rest", F.sum(want).over(group) - F.coalesce(F.sum(want).over(here), F.lit(0.0)))
     cells = cells.withColumn("_c", F.when(F.col("_rest") > 1e-15, F.greatest(F.col("_over"), F.lit(0.0)) / F.col("_rest")))
     good = F.when((F.col("_c") * F.col("_need") <= 1) & (F.col("_over") >= 0), F.col("_c"))
-    factor = F.max(good).over(group)
-    # no factor does where the whole group is less than the room
+    # no factor does where the whole group is no more than the room, but for rounding
+    factor = F.when(F.col(room) < F.sum(most).over(group) * (1 - 1e-9), F.max(good).over(group))
     filled = F.when(factor.isNotNull(), factor * F.col(want)).otherwise(F.greatest(want, most))
     return cells.withColumn(name, F.when(F.col(want) > 0, filled).otherwise(0.0)).drop("_need", "_over", "_rest", "_c")
 
 
-def rake_within(cells: DataFrame, keep: float = 0.8, rounds: int = 8) -> DataFrame:
+def rake_within(cells: DataFrame, keep: float = 0.8, rounds: int = 8, few: bool = False) -> DataFrame:
     """Re-rakes ``weight`` so that no cell gets more than its tokens within the budget ``keep``.
 
     A value whose tokens are fewer than its share of the budget is kept whole; the others of its axis follow their shares
@@ -107,7 +119,7 @@ def rake_within(cells: DataFrame, keep: float = 0.8, rounds: int = 8) -> DataFra
     for _ in range(rounds):
         for axis in AXES:
             cells = _filled(cells, "weight", "_most", f"_{axis}", [F.col(axis)], "weight")
-        cells = stored(cells.sparkSession, cells, "within")
+        cells = _settled(cells, "within", few)
     return cells.withColumn("weight", F.least("weight", "_most")).drop("_most", "_one", *(f"_{axis}" for axis in AXES))
 
 
@@ -128,23 +140,34 @@ def calibrate(cells: DataFrame, keep: float = 0.8) -> DataFrame:
 
 
 def shares_of(spark: SparkSession, rows: DataFrame, targets, temperature: float, rounds: int, keep: float) -> DataFrame:
-    """(source, lang, topic, probability), broadcast where it is small."""
-    cells = stored(spark, rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")).coalesce(1), "cells")
-    raked = stored(spark, calibrate(rake_within(rake(cells, targets, temperature, rounds), keep, rounds), keep).select(*AXES, "probability"), "shares")
-    return F.broadcast(raked) if raked.count() <= BROADCAST_CELLS else raked
+    """(source, lang, topic, tokens, target, probability) of each cell; target: its raked weight before the budget bounds it."""
+    cells = stored(spark, rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    few = cells.count() <= BROADCAST_CELLS
+    raked = rake(cells.coalesce(1) if few else cells, targets, temperature, rounds, few).withColumn("target", F.col("weight"))
+    raked = stored(spark, calibrate(rake_within(raked, keep, rounds, few), keep).select(*AXES, "tokens", "target", "probability"), "shares")
+    return F.broadcast(raked) if few else raked
+
+
+def marginals(shares: DataFrame) -> DataFrame:
+    """(axis, value, target, reached): target share of each value, and its expected share of the kept tokens."""
+    total = shares.agg(F.sum(F.col("tokens") * F.col("probability")).alias("all"))
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in AXES))).alias("v")
+    sums = shares.select(each, "target", (F.col("tokens") * F.col("probability")).alias("kept")).groupBy("v").agg(F.sum("target").alias("target"), F.sum("kept").alias("kept"))
+    return sums.join(F.broadcast(total)).select("v.axis", "v.value", "target", F.coalesce(F.try_divide("kept", "all"), F.lit(0.0)).alias("reached"))
 
 
 def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, rounds: int = 8, keep: float = 0.8) -> DataFrame:
-    """The kept documents with their own columns."""
-    shares = shares_of(spark, measure(docs), targets, temperature, rounds, keep).select(*(F.col(a).alias(f"_{a}") for a in AXES), F.col("probability").alias("_p"))
+    """The kept documents with their own columns, whatever these are called."""
+    *own, p = spare(docs.columns, *(f"_{a}" for a in AXES), "_p")
+    shares = shares_of(spark, measure(docs), targets, temperature, rounds, keep).select(*(F.col(a).alias(o) for a, o in zip(AXES, own, strict=True)), F.col("probability").alias(p))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(text, count_words(text))})
-    return rows.join(shares, [f"_{a}" for a in AXES]).where(draw_of(draw_key()) < F.col("_p")).select(*docs.columns)
+    values = (F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), _topic(docs, text, count_words(text)))
+    return docs.withColumns(dict(zip(own, values, strict=True))).join(shares, own).where(draw_of(draw_key()) < F.col(p)).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, rounds: int = 8, keep: float = 0.8) -> DataFrame:
     """Kept documents: doc_id, source, lang, topic, n_tokens, probability, weight (1 / probability)."""
     rows = measure(docs)
-    shares = shares_of(spark, rows, targets, temperature, rounds, keep)
+    shares = shares_of(spark, rows, targets, temperature, rounds, keep).select(*AXES, "probability")
     kept = rows.join(shares, list(AXES)).where("u < probability")
     return kept.select("doc_id", *AXES, "n_tokens", "probability", (1 / F.col("probability")).alias("weight"))

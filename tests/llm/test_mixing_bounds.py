@@ -23,3 +23,24 @@ def test_kept_tokens_meet_the_targets_that_the_budget_holds(spark, keep):
     for axis in mixing.AXES:
         want = fill(goal.groupby(axis).weight.sum(), goal.groupby(axis).tokens.sum() / goal.tokens.sum() / keep)
         assert np.allclose((kept.groupby(axis).k.sum() / kept.k.sum()).sort_index(), want.sort_index(), atol=2e-3)
+
+
+def test_kept_documents_reach_the_reported_marginals(spark):
+    rows = rows_of(6000, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight int")
+    found = mixing.marginals(mixing.shares_of(spark, mixing.measure(docs), None, 0.7, 12, 0.5)).toPandas().set_index(["axis", "value"])
+    kept = mixing.mix(spark, docs, rounds=12, keep=0.5).toPandas()
+    for axis in mixing.AXES:
+        have = kept.groupby(axis).n_tokens.sum() / kept.n_tokens.sum()
+        assert np.allclose(have.sort_index(), found.loc[axis].reached.sort_index(), atol=0.03)
+    held = found[found.index.get_level_values(0) != "topic"]
+    assert np.allclose(held.target, held.reached, atol=0.01)
+
+
+def test_own_columns_pass_through_and_a_topic_column_is_used(spark):
+    rows = [(i, "w " * 50, "en", "a", "MINE", f"t{i % 2}", 5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _topic string, topic string, _p int")
+    out = mixing.sample(spark, docs, keep=0.5)
+    assert out.columns == docs.columns and {(r._topic, r._p) for r in out.collect()} == {("MINE", 5)}
+    goal = spark.createDataFrame([("t0", 1.0), ("t1", 0.0)], "topic string, share double")
+    assert {r.topic for r in mixing.mix(spark, docs, {"topic": goal}, keep=0.5).collect()} == {"t0"}
