@@ -34,7 +34,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
+from lattice.llm.columns import spare
 from lattice.operators.components import connected_components
 from lattice.storage import bound_batches, discard, stored
 
@@ -503,30 +506,51 @@ class _Join:
         components = self.kept(self.components(self.trees(links, components)), "components")
         named = self.classes.join(components, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        named = stored(spark, named.select("key", "comp").join(names, "comp").select("key", "component_id"), "names")
+        named = stored(spark, named.select("key", "comp").join(names, "comp").select("key", "comp", "component_id"), "names")
         discard(spark, self.classes, *self.spent)
         out = self.rows.where("chunk IS NULL").select("doc_id", "key", "n").join(named, "key", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "key", "comp")
 
 
 def link_components(spark: SparkSession, docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row."""
     bound_batches(spark)
-    return _Join(spark, docs, percent, words).run()
+    return _Join(spark, docs, percent, words).run().select("doc_id", "n_shingles", "component_id")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """One document of each component stays, the one that names it; documents without words all stay."""
-    groups = link_components(spark, docs, percent, words)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(_by_id())
-    many = stored(spark, kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    repeated = kept.join(many, "doc_id", "left_semi").withColumn("_r", first).where("_r = 1").drop("_r")
-    return kept.join(many, "doc_id", "left_anti").unionByName(repeated)
+def _add_key(place: int, name: str, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, words) for t in batch.column(place).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(v) if len(v) else None for v in sets], pa.int64())], names=[*batch.schema.names, name])
+
+    return run
 
 
-def _by_id():
-    from pyspark.sql.window import Window
+def deduplicate(spark: SparkSession, docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
+    """One row of each component stays, with its own columns: the one with the smallest doc_id.
 
-    return Window.partitionBy("doc_id").orderBy("text")
+    The decision is by row, not by id. A null doc_id counts as the largest; of rows with one id and one shingle set the
+    first by text stays. A doc_id that names different texts may stay with one and go with another. Rows without words
+    (null, empty or white text) link with nothing and all stay. An empty table stays empty; columns of any name pass through.
+    """
+    bound_batches(spark)
+    rows = stored(spark, _Join(spark, docs, percent, words).run().select("doc_id", "key", F.col("n_shingles").alias("n"), "comp"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("w")
+    best = stored(spark, rows.where("n > 0").groupBy("comp").agg(first), "winners")
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    ids = stored(spark, ids, "ids")
+    many = ids.where("c > 1 OR doc_id IS NULL").select("doc_id")
+    lost = ids.where("c = 1 AND doc_id IS NOT NULL AND n > 0").join(best, "comp").where("w.none OR w.doc_id != doc_id").select("doc_id")
+    # texts are shuffled, if at all, by an id that occurs once
+    away = lost.union(many.where("doc_id IS NOT NULL"))
+    kept = docs.where(F.col("doc_id").isNotNull()).join(away.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    if many.isEmpty():
+        return kept
+    key, one, won, theirs = spare(docs.columns, "key", "first", "won", "repeated")
+    many, best = many.toDF(theirs), best.select(F.col("w.doc_id").alias(theirs), F.col("w.key").alias(won))
+    again = docs.join(many, F.col("doc_id").cast("long").eqNullSafe(F.col(theirs)), "left_semi")
+    again = again.mapInArrow(_add_key(docs.columns.index("text"), key, words), StructType([*docs.schema.fields, StructField(key, LongType())]))
+    again = again.withColumn(one, F.when(F.col(key).isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("doc_id", key).orderBy("text"))))
+    wins = again.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col(theirs)) & (F.col(key) == F.col(won)), "left_semi").where(F.col(one) == 1)
+    return kept.unionByName(wins.select(*docs.columns)).unionByName(again.where(F.col(key).isNull()).select(*docs.columns))

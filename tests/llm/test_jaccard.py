@@ -165,3 +165,26 @@ def test_deduplicate_keeps_one_of_each(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "other words that are not the same"), (4, None), (3, "other words that are not the same")]
     out = jaccard.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+
+
+def kept(spark, rows, schema="doc_id long, text string"):
+    return sorted((tuple(r) for r in jaccard.deduplicate(spark, spark.createDataFrame(rows, schema)).collect()), key=str)
+
+
+def test_deduplicate_decides_by_row(spark):
+    a, b = "a b c d e f g h", "other words that are not the same"
+    assert kept(spark, [(None, a), (None, a), (3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept(spark, [(None, a), (None, a.upper()), (None, b), (None, None), (None, " ")]) == sorted([(None, a.upper()), (None, b), (None, None), (None, " ")], key=str)
+    assert kept(spark, [(7, a), (7, a), (7, b), (8, b)]) == [(7, a), (7, b)]
+    assert kept(spark, []) == []
+
+
+def test_deduplicate_passes_any_columns_through(spark):
+    rows = [(2, "a b c d e f", 1, "x", 5, None), (1, "A b c d e f", 2, None, 6, "y"), (2, "u v w x y z", 3, "z", 7, "y")]
+    assert kept(spark, rows, "doc_id long, text string, key long, _r string, first int, comp string") == sorted(rows[1:], key=str)
+
+
+def test_deduplicate_matches_brute_force(spark):
+    rows = corpus(3, 25)
+    name = {d: c for d, _, c in brute(rows)}
+    assert {d for d, _ in kept(spark, rows)} == {d for d, t in rows if name[d] == d or not shingles(t)}
