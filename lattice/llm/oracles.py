@@ -28,33 +28,48 @@ SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id)
 """
 
 
-def op7() -> str:
-    """The rules and the two-level template tree of ``urls.judge``."""
+def op7(levels: int = 4) -> str:
+    """The rules and the template tree of ``urls.judge``, unrolled to ``levels`` levels; open branches beyond give no rows."""
     rules = sorted(urls.RULES, key=lambda r: -(len(r[1]) + len(r[2])))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules) + " END"
     action = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{a}'" for a, h, p in rules) + " END"
-    seeded = " OR ".join(f"contains(host, '{t}')" for t in urls.SEED_TERMS)
     variable = urls.VARIABLE
     sql = rf"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 ruled AS (SELECT *, {rule} AS rule, {action} AS act FROM parts),
-segs AS (SELECT *, CASE WHEN act IS NOT NULL THEN act = 'block' ELSE {seeded} END AS bad, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{variable}') THEN regexp_replace(s, '{variable}', '{{v}}\3') ELSE s END) AS s FROM ruled),
-shaped AS (SELECT *, coalesce(s[1], '') AS s0, coalesce(s[2], '') AS s1, len(s) > 2 AS deep FROM segs),
-t0 AS (SELECT host, s0, s1, count(*) AS n, count(*) FILTER (bad) AS b FROM shaped GROUP BY ALL),
-a0 AS (SELECT t.*, t.host AS branch, p.q AS up FROM t0 t JOIN (SELECT host, (sum(b) + 4.0 * 0.02) / (sum(n) + 4.0) AS q FROM t0 GROUP BY host) p USING (host))
+segs AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{variable}') THEN regexp_replace(s, '{variable}', '{{v}}\3') ELSE s END) AS segs FROM ruled),
+paths AS (SELECT host, segs, count(*) AS n, count(*) FILTER (act = 'block') AS b FROM segs GROUP BY ALL),
+l0 AS (SELECT p.host, segs, segs AS rest, p.host AS branch, q.purity, n, b FROM paths p JOIN (SELECT host, (sum(b) + 4.0 * 0.02) / (sum(n) + 4.0) AS purity FROM paths GROUP BY host) q USING (host))
 """
-    for k in range(2):
-        sql += f""", w{k} AS (SELECT branch, count(DISTINCT s{k}) > 16 AS wide FROM a{k} GROUP BY branch),
-g{k} AS (SELECT a.*, CASE WHEN wide AND s{k} <> '' THEN '*' ELSE s{k} END AS g FROM a{k} a JOIN w{k} USING (branch)),
-o{k} AS (SELECT branch, g, sum(n) AS n, sum(b) AS b, first(up) AS up FROM g{k} GROUP BY branch, g),
-q{k} AS (SELECT *, least(floor((b + 4.0 * up) / (n + 4.0) * 5), 4) AS bin FROM o{k}),
-m{k} AS (SELECT branch, bin, CASE WHEN count(*) > 1 THEN '{{' || min(g) || '|..}}' ELSE min(g) END AS label, (sum(b) + 4.0 * first(up)) / (sum(n) + 4.0) AS q FROM q{k} GROUP BY branch, bin),
-a{k + 1} AS (SELECT g.host, g.s0, g.s1, g.n, g.b, g.branch || '/' || m.label AS branch, m.q AS up FROM g{k} g JOIN q{k} q ON q.branch = g.branch AND q.g = g.g JOIN m{k} m ON m.branch = q.branch AND m.bin = q.bin)
+    for k in range(levels):
+        sql += f""", e{k} AS (SELECT branch, sum(b) = 0 OR sum(b) = sum(n) OR min(rest) = max(rest) AS leaf, min(rest) AS lo, max(rest) AS hi FROM l{k} GROUP BY branch),
+c{k} AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(lo), len(hi)) + 1), lambda i: lo[i] <> hi[i])) - 1, least(len(lo), len(hi))) AS same FROM e{k}),
+r{k} AS (SELECT l.*, leaf, lo, hi, same, array_to_string(list_concat([branch], lo[1:same]), '/') AS name FROM l{k} l JOIN c{k} USING (branch)),
+f{k} AS (SELECT host, segs, rest[same + 1:] AS rest, name AS branch, purity, n, b, coalesce(rest[same + 1], '') AS s FROM r{k} WHERE NOT leaf),
+w{k} AS (SELECT f.*, CASE WHEN kids > 16 AND s <> '' THEN '*' ELSE s END AS g FROM f{k} f JOIN (SELECT branch, count(DISTINCT s) AS kids FROM f{k} GROUP BY branch) USING (branch)),
+k{k} AS (SELECT branch, g, sum(n)::BIGINT AS n, sum(b)::BIGINT AS b, first(purity) AS up FROM w{k} GROUP BY branch, g),
+p{k} AS (SELECT *, lag(n) OVER o AS n0, lag(b) OVER o AS b0 FROM k{k} WINDOW o AS (PARTITION BY branch ORDER BY b / n, g)),
+z{k} AS (SELECT *, CASE WHEN coalesce(((b * n0 - b0 * n)::DOUBLE * (b * n0 - b0 * n)::DOUBLE * (n + n0)) / nullif((n * n0)::DOUBLE * ((b + b0) * (n + n0 - b - b0)), 0), 0) < 3.84 AND b / n - b0 / n0 <= 0.2 THEN 0 ELSE 1 END AS new FROM p{k}),
+g{k} AS (SELECT *, sum(new) OVER (PARTITION BY branch ORDER BY b / n, g) AS grp FROM z{k}),
+m{k} AS (SELECT branch, g, (sum(b) OVER q + 4.0 * up) / (sum(n) OVER q + 4.0) AS purity, branch || '/' || CASE WHEN count(*) OVER q > 1 THEN '{{' || min(g) OVER q || '|..}}' ELSE min(g) OVER q END AS next FROM g{k} WINDOW q AS (PARTITION BY branch, grp)),
+l{k + 1} AS (SELECT w.host, w.segs, w.rest[2:] AS rest, m.next AS branch, m.purity, w.n, w.b FROM w{k} w JOIN m{k} m ON m.branch = w.branch AND m.g = w.g)
 """
-    return sql + """SELECT page_id, r.host, path, rule, coalesce(act, CASE WHEN up >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN deep THEN branch || '/**' ELSE branch END AS template, round(up, 9)::DOUBLE AS purity
-FROM shaped r LEFT JOIN a2 USING (host, s0, s1)"""
+    leaves = " UNION ALL ".join(f"SELECT host, segs, CASE WHEN lo = hi THEN name ELSE name || '/**' END AS template, purity FROM r{k} WHERE leaf" for k in range(levels))
+    return sql + f""", leaves AS ({leaves})
+SELECT page_id, r.host, path, rule, coalesce(act, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9)::DOUBLE AS purity
+FROM segs r JOIN leaves USING (host, segs)"""
+
+
+def _filled(table: str, name: str, want: str, most: str, room: str, by: str) -> str:
+    """``filled``: ``want`` times one factor per group, so that least(it, ``most``) sums to ``room``, as in ``mixing``."""
+    here = f"(PARTITION BY {by} ORDER BY need DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f""", {name}_n AS (SELECT *, coalesce({want} / nullif({most}, 0), 0) AS need FROM {table}),
+{name}_o AS (SELECT *, {room} - coalesce(sum({most}) OVER {here}, 0) AS free, sum({want}) OVER (PARTITION BY {by}) - coalesce(sum({want}) OVER {here}, 0) AS rest FROM {name}_n),
+{name}_c AS (SELECT *, CASE WHEN rest > 1e-15 THEN greatest(free, 0) / rest END AS c FROM {name}_o),
+{name}_f AS (SELECT *, CASE WHEN {room} < sum({most}) OVER (PARTITION BY {by}) * (1 - 1e-9) THEN max(CASE WHEN c * need <= 1 AND free >= 0 THEN c END) OVER (PARTITION BY {by}) END AS factor FROM {name}_c),
+{name} AS (SELECT * EXCLUDE (need, free, rest, c, factor), CASE WHEN {want} > 0 THEN CASE WHEN factor IS NOT NULL THEN factor * {want} ELSE greatest({want}, {most}) END ELSE 0 END AS filled FROM {name}_f)"""
 
 
 def op10(temperature: float = 0.7, rounds: int = 8, keep: float = 0.8) -> str:
@@ -73,7 +88,21 @@ k0 AS (SELECT *, tokens::DOUBLE / sum(tokens) OVER () AS weight"""
             name = f"r{r}_{a}"
             sql += f", {name} AS (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {a}) > 0 THEN weight * p_{a} / sum(weight) OVER (PARTITION BY {a}) ELSE 0 END AS weight) FROM {last})"
             last = name
-    return sql + f""", need AS (SELECT *, weight / tokens AS need FROM {last}),
+    sql += f", within AS (SELECT *, CASE WHEN weight > 0 THEN tokens / (sum(tokens) OVER () * {keep}) ELSE 0 END AS most, 1.0::DOUBLE AS one FROM {last})"
+    last = "within"
+    for a in axes:
+        first = f"row_number() OVER (PARTITION BY {a} ORDER BY source, lang, topic) = 1"
+        sql += f", v_{a} AS (SELECT *, CASE WHEN {first} THEN sum(weight) OVER (PARTITION BY {a}) ELSE 0 END AS w, CASE WHEN {first} THEN sum(most) OVER (PARTITION BY {a}) ELSE 0 END AS m FROM {last})"
+        sql += _filled(f"v_{a}", f"t_{a}", "w", "m", "one", "1")
+        sql += f", x_{a} AS (SELECT * EXCLUDE (w, m, filled), max(least(filled, m)) OVER (PARTITION BY {a}) AS room_{a} FROM t_{a})"
+        last = f"x_{a}"
+    for r in range(rounds):
+        for a in axes:
+            sql += _filled(last, f"f{r}_{a}", "weight", "most", f"room_{a}", a)
+            sql += f", y{r}_{a} AS (SELECT * EXCLUDE (weight, filled), filled AS weight FROM f{r}_{a})"
+            last = f"y{r}_{a}"
+    sql += f", capped AS (SELECT source, lang, topic, tokens, least(weight, most) AS weight FROM {last})"
+    return sql + f""", need AS (SELECT *, weight / tokens AS need FROM capped),
 c AS (SELECT *, ({keep} * sum(tokens) OVER () - coalesce(sum(tokens) OVER w, 0)) / nullif(greatest(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0), 1e-12), 1e-12) AS c FROM need WINDOW w AS (ORDER BY need DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 p AS (SELECT source, lang, topic, least(1.0, coalesce(max(CASE WHEN c * need <= 1 AND c >= 0 THEN c END) OVER (), 1e300) * need) AS probability FROM c)
 SELECT doc_id, source, lang, topic, n_tokens, round(probability, 9)::DOUBLE AS probability, round(1 / probability, 9)::DOUBLE AS weight FROM rows JOIN p USING (source, lang, topic) WHERE u < p.probability"""
