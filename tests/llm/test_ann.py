@@ -30,7 +30,7 @@ def test_recall_and_scores(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(10, 32))
     rows = [(i, (centres[i % 10] + rng.normal(size=32)).tolist()) for i in range(2000)]
-    got, want = run(spark, rows, rows_per_block=300), brute(rows)
+    got, want = run(spark, rows, rows_per_part=300), brute(rows)
     assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
     assert hits >= 0.9 * 5 * len(want)
@@ -40,15 +40,42 @@ def test_recall_and_scores(spark):
         assert [s for _, s in found] == sorted((s for _, s in found), reverse=True)
 
 
+def test_recall_and_candidate_share_on_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
+    got, want = run(spark, rows), brute(rows)
+    assert got.keys() == want.keys()
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+    x = np.array([v for _, v in rows])
+    index = ann.fit(x)
+    assert index.retrieved(x[np.array([i for i, _ in rows]) % 50 == 0], x).mean() < 0.2
+
+
 def test_pigeonhole_finds_every_code_in_the_radius():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16))
-    for radius in (3, 9, 16, 21, 40):
-        index = ann.Index(rng.normal(size=(16, 64)), radius)
-        codes = index.codes(x)
-        found = {(q, v) for q, v, _ in ann.search_block(index, x[:20], x, [[i] for i in range(400)], 400)}
-        inside = {(q, int(v)) for q in range(20) for v in np.flatnonzero(ann._hamming(codes[q], codes) <= radius)}
-        assert inside <= found
+    for width, reach in ((8, 0), (8, 1), (16, 3), (16, 5)):
+        index = ann.Index(rng.normal(size=(16, 64)), width, reach)
+        bits = x @ index.projection > 0
+        values = index.values(x)
+        found = set(zip(*(v.tolist() for v in ann.search_part(values[:20], x[:20], values, x, np.arange(400), 400, width, reach)[:2]), strict=True))
+        inside = {(q, int(v)) for q in range(20) for v in np.flatnonzero((bits[q] != bits).sum(1) <= index.radius)}
+        assert inside <= found and found == set(zip(*(v.tolist() for v in np.nonzero(index.retrieved(x[:20], x))), strict=True))
+
+
+def test_postings_by_leading_bits_find_what_whole_parts_find(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=24)
+    rows = [(i, (centre * (i % 3) + rng.normal(size=24)).tolist()) for i in range(1500)] + [(3000 + i, (centre * 9 + rng.normal(size=24) * 1e-3).tolist()) for i in range(400)]
+    few = run(spark, rows, most=3, rows_per_part=4000)
+    assert few == run(spark, rows, most=3, rows_per_part=200) == run(spark, rows, most=3, rows_per_part=64)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0], "x", 1), (0, [1.0, 0.0], "y", 2), (1, [1.0, 0.1], None, 3), (1, [1.0, 0.1], "z", 3), (2, [0.0, 1.0], "w", 4), (1, [0.5, 0.5], "v", 5)] + [(0, [1.0, 0.0], "r", 0)] * 20
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids string, ha int")
+    out = ann.search(spark, df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in out] == [(0, 1), (0, 1), (0, 2)]
 
 
 def test_copies_and_ties(spark):
