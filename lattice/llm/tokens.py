@@ -130,7 +130,8 @@ class _Encoder:
 
     A byte-level BPE never joins a non-space to the white space after it, nor a letter or digit to the punctuation after it.
     So a text cut before each single space or newline between two other characters, and before the
-    punctuation that ends such a piece, encodes piece by piece. Other texts are encoded as they are.
+    punctuation that ends such a piece, encodes piece by piece. Other texts, and those that hold an added token such as
+    an end-of-text mark, which the library gives its own id, are encoded as they are.
     """
 
     kept: dict[tuple, _Encoder] = {}
@@ -140,12 +141,13 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.uint16 if self.width == 2 else np.uint32
         vocabulary = self.tok.get_vocab()
         self.by_piece = "Ġ" in vocabulary and self.tok.normalizer is None
+        #: Added tokens are found in a text before it is cut into pieces, so texts that hold one go to the library whole.
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.lengths = np.zeros(size, np.int64)
         for word, i in vocabulary.items():
             self.lengths[i] = len(word)
@@ -229,13 +231,14 @@ class _Encoder:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         self._forget()
         known, get = self.units, self.units.__getitem__
-        cut = [s.split(" ") for s in texts]
+        marked = [any(t in s for t in self.added) for s in texts]
+        cut = [[] if m else s.split(" ") for s, m in zip(texts, marked, strict=True)]
         fresh = [x for x in set(chain.from_iterable(cut)) if x not in known]
         if fresh:
             self._learn(fresh)
         out = []
-        for s, u in zip(texts, cut, strict=True):
-            head = u[0]
+        for s, u, m in zip(texts, cut, marked, strict=True):
+            head = "" if m else u[0]
             try:
                 if not head or head[0].isspace() or head[-1].isspace():
                     raise TypeError
