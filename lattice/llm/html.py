@@ -116,8 +116,9 @@ class Page:
             if m.group("end"):
                 if name == "a":
                     link = 0
-                elif name == "p" and "p" not in (self.tag[i] for i in open_[-8:]):
+                elif name == "p":
                     flush()
+                    self._close(open_, {"p"}, {"td", "th", "table"})
                 elif name in BLOCK:
                     for k in range(len(open_) - 1, 0, -1):
                         if self.tag[open_[k]] == name:
