@@ -53,6 +53,10 @@ def terms(text: bytes | None) -> dict[bytes, float]:
     return out
 
 
+#: Cosines of nearest neighbours lie close together near 1; this power of them sets near ones apart as weights.
+POWER = 16
+
+
 class Voter:
     def __init__(self, names: list[bytes], idf: np.ndarray, basis: np.ndarray, vectors: np.ndarray, labels: np.ndarray, share: float, neighbours: int):
         self.places = {t: i for i, t in enumerate(names)}
@@ -79,7 +83,7 @@ class Voter:
         near = self.project(bags) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
         best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, best, 1), 0).astype(np.float64) ** 16 + 1e-9
+        weight = np.maximum(np.take_along_axis(near, best, 1), 0).astype(np.float64) ** POWER + 1e-9
         return np.clip((weight * self.labels[best]).sum(1) / weight.sum(1), 0, 1)
 
 
@@ -107,7 +111,7 @@ def _train_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 4000, **training) -> Voter:
     rows = training_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels.withColumn("doc_id", F.col("doc_id").cast("long")), label, max_rows)
     found = rows.mapInArrow(_train_bags, "doc_id long, y int, terms array<binary>, shares array<double>").collect()
-    found = sorted(found, key=lambda r: (r.doc_id, r.y, [bytes(t) for t in r.terms]))[: 2 * max_rows]
+    found = sorted(found, key=lambda r: r.doc_id)
     bags = [dict(zip(map(bytes, r.terms), r.shares, strict=True)) for r in found]
     return train(bags, np.array([r.y for r in found], float) if found else np.zeros(0), **training) if found else Voter([], np.empty(0), np.empty((0, 0)), np.empty((0, 0)), np.empty(0), 0.5, 1)
 

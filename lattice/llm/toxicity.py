@@ -129,13 +129,14 @@ def held_out(doc_id=None):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` labelled (text, y), outside the held-out fold: a bounded sample, by a hash of doc_id.
+    """At most ``max_rows`` labelled (doc_id, text, y), outside the held-out fold: a bounded sample, by a hash of doc_id.
 
-    The sampled labels are a bounded table, so they are broadcast to the documents.
+    The sampled labels are a bounded table, so they are broadcast to the documents. Of documents with one id the
+    smallest text counts, so repeated ids add no rows.
     """
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").select("doc_id", "text", "y")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def _train_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def _train_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 16_000, **training) -> FactorizationMachine:
     rows = training_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels.withColumn("doc_id", F.col("doc_id").cast("long")), label, max_rows)
-    found = sorted(rows.mapInArrow(_train_terms, "doc_id long, y int, terms binary").collect(), key=lambda r: (r.doc_id, r.y, r.terms))[: 2 * max_rows]
+    found = sorted(rows.mapInArrow(_train_terms, "doc_id long, y int, terms binary").collect(), key=lambda r: r.doc_id)
     return train([np.frombuffer(r.terms, np.uint32) for r in found], np.array([r.y for r in found], float), **training)
 
 
