@@ -10,9 +10,11 @@ only if the slots agree: each value of the item stands for one value of the docu
 An alignment with ``min_windows`` windows (or all of the item's, if fewer), counting all of them or only those with
 enough literals, is a leak: exact, or re-parameterised.
 
-Edge cases: null or empty texts match nothing; items with fewer than ``min_literals`` words that are no placeholders
-match nothing; items shorter than a window are matched whole; repeated items and documents are reported under their
-ids, once each; null ids are reported as null; an empty benchmark or table gives none; other columns are not read.
+Edge cases: null or empty texts match nothing; items of fewer than ``min_literals`` words match nothing, items with fewer
+literals than that only by their exact values; items shorter than a window are matched whole; repeated items and documents are
+reported under their ids, once each, and rows that share an id (or have none) are matched row by row; null ids are reported as
+null; an empty benchmark or table gives none; other columns are not read. ``decontaminate`` decides by row: a leaking text goes
+whatever its id, even without one, and a clean text stays though its id leaks elsewhere.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattice.llm.columns import spare
 from lattice.storage import bound_batches, stored
 
 WIDTH, MIN_WINDOWS, MIN_LITERALS = 8, 6, 4
@@ -116,6 +119,7 @@ def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _schema(name: str) -> pa.Schema:
     more = [("level", pa.int32()), ("fixed", pa.int32()), ("needed", pa.int32()), ("needed_all", pa.int32())] if name == "item_id" else []
+    more = more or [("row", pa.int64())]
     return pa.schema([(name, pa.int64()), ("place", pa.int32()), ("hash", pa.int64()), ("kinds", pa.list_(pa.int8())), (f"{name}_slots", pa.list_(pa.int64())), ("width", pa.int32()), *more])
 
 
@@ -128,7 +132,7 @@ def _cut_items(min_windows: int, min_literals: int):
                 part, out = batch.slice(k, 256), []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     tokens, kind, value = template(text)
-                    if not len(tokens) or np.count_nonzero(kind == LITERAL) < min_literals:
+                    if len(tokens) < min_literals:
                         continue
                     width = min(WIDTH, len(tokens))
                     _, rich = windows(tokens, kind, value, width, min_literals)
@@ -150,13 +154,14 @@ def _cut(widths: list[int], bitmap, min_literals: int):
                 part, out = batch.slice(k, 256), []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     tokens, kind, value = template(text)
+                    row = xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
                     for width in widths:
                         h, _ = windows(tokens, kind, value, width, min_literals)
                         spot = (h & np.uint64(8 * len(bitmap.value) - 1)).astype(np.int64)
                         at = np.flatnonzero(bitmap.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
                         for p, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True):
                             slots = np.flatnonzero(kind[p : p + width])
-                            out.append((i, p, x, kind[p + slots].tolist(), value[p + slots].view(np.int64).tolist(), width))
+                            out.append((i, p, x, kind[p + slots].tolist(), value[p + slots].view(np.int64).tolist(), width, row))
                 yield _rows(out, schema)
 
     return run
@@ -177,7 +182,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_w
         bitmap[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)
     shared = spark.sparkContext.broadcast(bitmap)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_cut(widths or [WIDTH], shared, min_literals), ddl.format("doc_id"))
+    found = texts.mapInArrow(_cut(widths or [WIDTH], shared, min_literals), ddl.format("doc_id") + ", row long")
     items = items.select("item_id", F.col("place").alias("item_place"), "hash", "width", "item_id_slots", "level", "fixed", "needed", "needed_all")
     both = found.join(items, ["hash", "width"]).where((F.col("fixed") == 0) | (F.get("item_id_slots", F.lit(0)) == F.get("doc_id_slots", F.lit(0))))
     pairs = F.transform(F.arrays_zip("kinds", "item_id_slots", "doc_id_slots"), lambda z: F.struct(z.kinds.alias("k"), z.item_id_slots.alias("i"), z.doc_id_slots.alias("d")))
@@ -186,7 +191,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_w
     # disagree, so each level stands alone.
     upto = lambda level, c: F.when(F.col("level") <= level, c)
     sums = [(F.count_distinct(upto(v, F.col("item_place"))).alias(f"n{v}"), F.array_distinct(F.flatten(F.collect_set(upto(v, pairs)))).alias(f"s{v}")) for v in range(3)]
-    aligned = both.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.min("needed").alias("m0"), F.min("needed_all").alias("m2"), *(c for two in sums for c in two))
+    aligned = both.groupBy("doc_id", "row", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.min("needed").alias("m0"), F.min("needed_all").alias("m2"), *(c for two in sums for c in two))
     tried = F.array(*(F.struct(F.col(f"n{v}").alias("n_windows"), F.col(f"s{v}").alias("slots"), F.col("m2" if v == 2 else "m0").alias("needed")) for v in range(3)))
     aligned = aligned.select("doc_id", "item_id", F.inline(tried))
     n_of = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(*(s[n] for n in names)))))
@@ -199,6 +204,9 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_w
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    leaks = stored(spark, find_leaks(spark, docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that leak no benchmark item, with their own columns; decided by the text of each row."""
+    (name,) = spare(docs.columns, "leak")
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")
+    leaks = find_leaks(spark, texts, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    leaks = stored(spark, leaks, "leaks")
+    return docs.join(leaks, F.xxhash64(F.col("text").cast("string")) == F.col(name), "left_anti").select(*docs.columns)

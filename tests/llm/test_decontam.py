@@ -76,4 +76,29 @@ def test_edges(spark):
     assert leaks(spark, []) == {} and leaks(spark, docs, []) == {}
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert [r.doc_id for r in decontam.decontaminate(spark, df, bench).orderBy("doc_id").collect()] == [None, 1, 2]
+    assert sorted((tuple(r) for r in decontam.decontaminate(spark, df, bench).collect()), key=str) == [(1, None), (2, "")]
+
+
+def test_names_only_items_match_by_exact_values(spark):
+    items = [(1, "Alice Brown met Carol Davis near Lake Geneva"), (2, "Alice Brown met Carol Davis near Lake Geneva while Emil Falk drove Otto Lind to Bern and Basel")]
+    other = [(i, t.replace("Carol", "Clara")) for i, t in items]
+    docs = [(10 * i + k, noise(30, k) + sep + t + ". " + noise(20, k + 7)) for i, t in items for k, sep in enumerate((". ", " ", "\n"))]
+    docs += [(100 + i, noise(30, i) + ". " + t) for i, t in other]
+    got = leaks(spark, docs, items)
+    assert {d for d, i in got if i == 1} == {10, 11, 12, 20, 21, 22}  # not the one with another name: it has too few literals
+    assert {d for d, i in got if i == 2 and got[d, i].exact} == {20, 21, 22}
+
+
+def test_decisions_are_by_row(spark):
+    leak = noise(20, 1) + ". " + ITEMS[1][1]
+    rows = [(None, leak, "a"), (None, noise(30, 2), "b"), (5, leak, "c"), (5, noise(30, 3), "d"), (6, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, leak string")
+    out = decontam.decontaminate(spark, df, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert out.columns == df.columns and sorted(r.leak for r in out.collect()) == ["b", "d", "e"]
+
+
+def test_rows_of_one_id_are_not_matched_together(spark):
+    words = ITEMS[1][1].split()
+    torn = [(7, " ".join(words[:12]) + " " + noise(9, 4)), (7, noise(7, 5) + " " + " ".join(words[7:]))]
+    halves = [(7, " ".join(words[:11] + ["zzz"] * 8)), (7, " ".join(["zzz"] * 8 + words[8:]))]
+    assert leaks(spark, halves) == {} and set(leaks(spark, torn)) <= {(7, 2)}
