@@ -21,7 +21,7 @@ def import_guided(calls: DataFrame, imports: DataFrame, symbols: DataFrame, edge
     calls: caller, callee, file; imports: file, local_name, imported_name, module_stem; symbols: id, name, module_stem.
     """
     index = unique_index(symbols.withColumn("name", F.lower("name")), ["module_stem", "name"], "id")
-    named = calls.join(imports.withColumnRenamed("local_name", "callee"), ["file", "callee"])
+    named = calls.select("caller", "callee", "file").distinct().join(imports.withColumnRenamed("local_name", "callee").distinct(), ["file", "callee"])
     out = named.withColumn("name", F.lower("imported_name")).join(index, ["module_stem", "name"]).select("caller", F.col("id").alias("target")).where("caller != target").distinct()
     if edges is None:
         return out
@@ -48,10 +48,41 @@ def nearest_candidate(pairs: DataFrame, call: str = "call_id") -> DataFrame:
     return rows.withColumn("_n", F.count(F.lit(1)).over(group)).where("_n = 1").select(call, "target")
 
 
+def _folder(path):
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def _prefixes(folder):
+    """The folder's leading paths, longest last; none for the root."""
+    parts = F.split(folder, "/")
+    every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return F.when(folder != "", every).otherwise(F.array().cast("array<string>"))
+
+
 def bare_name(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls by name alone: call_id, target. calls: call_id, callee, call_file; symbols: id, name, file."""
-    found = calls.withColumn("name", F.lower("callee")).join(symbols.select(F.lower("name").alias("name"), F.col("id").alias("target"), F.col("file").alias("target_file")).distinct(), "name")
-    return nearest_candidate(found.select("call_id", "call_file", "target", "target_file"))
+    """Calls by name alone: call_id, target, as ``nearest_candidate`` would decide among all symbols of the name.
+
+    Candidates are never listed: symbols are counted by name and file, folder, and each leading path, and the
+    distinct (name, file) of the calls look up those counts, so a name that a third of all symbols share costs no more
+    than others. calls: call_id, callee, call_file; symbols: id, name, file.
+    """
+    every = symbols.select(F.lower("name").alias("name"), F.col("id").alias("target"), F.col("file").alias("f")).distinct()
+    every = every.select("name", "target", "f", _folder(F.col("f")).alias("d"), P.is_test_path(F.col("f")).alias("pool"))
+    one = lambda rows, *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("t")).select(*keys, F.struct("n", "t").alias("hit"))
+    asks = calls.select(F.lower("callee").alias("name"), F.col("call_file").alias("f")).distinct()
+    pools = one(every, "name", "pool").groupBy("name").pivot("pool", [False, True]).agg(F.first("hit")).withColumnsRenamed({"false": "plain", "true": "tests"})
+    asks = asks.join(pools, "name").withColumn("pool", P.is_test_path(F.col("f")) & F.col("tests").isNotNull())
+    asks = asks.withColumn("all", F.when(F.col("pool"), F.col("tests")).otherwise(F.col("plain"))).where("all IS NOT NULL")
+    asks = asks.select("name", "f", "pool", "all", _folder(F.col("f")).alias("d"))
+    open_ = asks.join(one(every, "name", "pool", "f").withColumnRenamed("hit", "same"), ["name", "pool", "f"], "left")
+    open_ = open_.join(one(every, "name", "pool", "d").withColumnRenamed("hit", "beside"), ["name", "pool", "d"], "left")
+    above = one(every.withColumn("p", F.explode(_prefixes(F.col("d")))), "name", "pool", "p")
+    near = asks.select("name", "pool", "f", F.posexplode(_prefixes(F.col("d"))).alias("k", "p")).join(above, ["name", "pool", "p"])
+    near = near.groupBy("name", "f").agg(F.max_by("hit", "k").alias("near"))
+    open_ = open_.join(near, ["name", "f"], "left")
+    hit = F.when(F.col("all.n") == 1, F.col("all")).otherwise(F.coalesce("same", "beside", "near"))
+    found = open_.select("name", F.col("f").alias("call_file"), hit.alias("hit")).where("hit.n = 1").select("name", "call_file", F.col("hit.t").alias("target"))
+    return calls.withColumn("name", F.lower("callee")).join(found, ["name", "call_file"]).select("call_id", "target")
 
 
 def member_calls(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:
@@ -77,22 +108,33 @@ def alias_targets(aliases: DataFrame, names: DataFrame, hops: int = 8) -> DataFr
     return out
 
 
-def call_tiers(calls: DataFrame, symbols: DataFrame, imports: DataFrame, builtins: tuple[str, ...] = ()) -> DataFrame:
-    """Every target of each call's best tier: call_id, target, confidence.
+def best_tiers(calls: DataFrame, symbols: DataFrame, imports: DataFrame, builtins: tuple[str, ...] = ()) -> DataFrame:
+    """Each call's best tier: call_id, callee, confidence, n_targets, targets.
 
-    Own file, then imported file (EXTRACTED); a builtin stops; then one global match (INFERRED) or all of several
-    (AMBIGUOUS). calls: call_id, file, callee; symbols: id, file, name; imports: file, name, from_file.
+    Own file, then imported files (EXTRACTED); a builtin stops; then one global match (INFERRED) or all of several
+    (AMBIGUOUS), which stay a class: ``targets`` is null and the callee names them. Tiers depend on (file, callee) only,
+    so they are decided once per such pair. calls: call_id, file, callee; symbols: id, file, name; imports: file, name, from_file.
     """
     local = unique_index(symbols, ["file", "name"], "id")
-    a = calls.withColumnRenamed("callee", "name").join(local, ["file", "name"]).select("call_id", F.col("id").alias("target"), F.lit(0).alias("prio"), F.lit("EXTRACTED").alias("confidence"))
-    seen = calls.withColumnRenamed("callee", "name").join(imports, ["file", "name"]).select("call_id", F.col("from_file").alias("file"), "name")
-    b = seen.join(local, ["file", "name"]).select("call_id", F.col("id").alias("target"), F.lit(1).alias("prio"), F.lit("EXTRACTED").alias("confidence"))
-    stop = calls.where(F.col("callee").isin(*builtins)).select("call_id", F.lit(None).cast("string").alias("target"), F.lit(2).alias("prio"), F.lit("BUILTIN").alias("confidence"))
-    counted = symbols.join(symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name").select(F.col("name").alias("callee"), F.col("id").alias("target"), F.lit(3).alias("prio"), F.when(F.col("n") == 1, "INFERRED").otherwise("AMBIGUOUS").alias("confidence"))
-    c = calls.join(counted, "callee").select("call_id", "target", "prio", "confidence")
-    rows = a.unionAll(b).unionAll(stop).unionAll(c)
-    best = F.rank().over(Window.partitionBy("call_id").orderBy("prio"))
-    return rows.withColumn("_r", best).where("_r = 1 AND target IS NOT NULL").select("call_id", "target", "confidence").distinct()
+    asks = calls.select("file", F.col("callee").alias("name")).distinct()
+    own = asks.join(local, ["file", "name"]).select("file", "name", F.array("id").alias("own"))
+    seen = asks.join(imports.select("file", "name", "from_file").distinct(), ["file", "name"])
+    seen = seen.join(local.select(F.col("file").alias("from_file"), "name", "id"), ["from_file", "name"]).groupBy("file", "name").agg(F.sort_array(F.collect_set("id")).alias("seen"))
+    named = symbols.groupBy("name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("one"), F.count(F.lit(1)).alias("rows"))
+    rows = asks.join(own, ["file", "name"], "left").join(seen, ["file", "name"], "left").join(named, "name", "left")
+    sure, stop, single = F.coalesce("own", "seen"), F.col("name").isin(*builtins), F.col("rows") == 1
+    confidence = F.when(sure.isNotNull(), "EXTRACTED").when(stop, F.lit(None)).when(single, "INFERRED").when(F.col("rows") > 1, "AMBIGUOUS")
+    targets = F.when(sure.isNotNull(), sure).when(single, F.array("one"))
+    rows = rows.select("file", F.col("name").alias("callee"), confidence.alias("confidence"), F.coalesce(F.size(targets), F.col("n")).cast("long").alias("n_targets"), targets.alias("targets"))
+    return calls.join(rows.where("confidence IS NOT NULL"), ["file", "callee"]).select("call_id", "callee", "confidence", "n_targets", "targets")
+
+
+def call_tiers(calls: DataFrame, symbols: DataFrame, imports: DataFrame, builtins: tuple[str, ...] = ()) -> DataFrame:
+    """Every target of each call's best tier: call_id, target, confidence; a row for each of several equal names."""
+    best = best_tiers(calls, symbols, imports, builtins)
+    known = best.where("targets IS NOT NULL").select("call_id", F.explode("targets").alias("target"), "confidence")
+    open_ = best.where("targets IS NULL").join(symbols.select(F.col("name").alias("callee"), F.col("id").alias("target")).distinct(), "callee")
+    return known.unionByName(open_.select("call_id", "target", "confidence")).distinct()
 
 
 def class_closure(inherits: DataFrame, classes: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -125,8 +167,10 @@ def dispatch(closure: DataFrame, methods: DataFrame) -> DataFrame:
 def scope_lookup(scopes: DataFrame, bindings: DataFrame, uses: DataFrame, max_depth: int | None = None) -> DataFrame:
     """uses (use_id, scope, name) with the value bound in the nearest enclosing scope."""
     chain = class_closure(scopes.select(F.col("scope").alias("class_id"), F.col("parent").alias("base_id")), scopes.select(F.col("scope").alias("class_id")), max_depth)
-    near = uses.join(chain.toDF("scope", "at", "depth"), "scope").join(bindings.select(F.col("scope").alias("at"), "name", "value"), ["at", "name"])
-    return near.groupBy("use_id").agg(F.min_by("value", F.struct("depth", "value")).alias("value"))
+    asks = uses.select("scope", "name").distinct()
+    near = asks.join(chain.toDF("scope", "at", "depth"), "scope").join(bindings.select(F.col("scope").alias("at"), "name", "value"), ["at", "name"])
+    near = near.groupBy("scope", "name").agg(F.min_by("value", F.struct("depth", "value")).alias("value"))
+    return uses.join(near, ["scope", "name"]).groupBy("use_id").agg(F.min("value").alias("value"))
 
 
 def files_to_nodes(files: DataFrame, nodes: DataFrame) -> DataFrame:

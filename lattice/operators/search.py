@@ -104,6 +104,8 @@ def trigram_candidates(index: DataFrame, text: str) -> DataFrame:
 
 def within_budget(rows: DataFrame, text: str, order: list[str], budget: int, chars_per_token: int = 3) -> DataFrame:
     """The prefix of the ordered lines that fits the token budget, with the running characters."""
+    most = budget * chars_per_token
+    rows = rows.orderBy(*order).limit(most)  # every line takes a character at least, so no more lines fit
     run = F.sum(F.length(text) + 1).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("cum_chars", run).where(F.col("cum_chars") <= budget * chars_per_token)
 

@@ -158,22 +158,22 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.violations(nodes, edges).groupBy("kind", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT e.source, e.target, coalesce(a.source_file, b.source_file) AS source_file FROM g_edges e LEFT JOIN g_nodes a ON a.id = e.source LEFT JOIN g_nodes b ON b.id = e.target WHERE relation = 'references'")
+@query("SELECT e.source, e.target, coalesce(a.source_file, b.source_file) AS source_file FROM g_edges e LEFT JOIN g_nodes a ON a.id = e.source LEFT JOIN g_nodes b ON b.id = e.target")
 def source_file_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
-    edges = g.edges.where("relation = 'references'").withColumn("source_file", F.lit(""))
+    edges = g.edges.withColumn("source_file", F.lit(""))
     return merge.backfill_source_file(edges, g.nodes).select("source", "target", "source_file")
 
 
-@query("SELECT id, label, source_file FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM g_nodes WHERE source_file IN ('part.parquet', 'nation.parquet')) WHERE k = 1")
+@query("SELECT id, label, source_file FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM g_nodes) WHERE k = 1")
 def node_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star_graph(spark, sf_dir).nodes.where("source_file IN ('part.parquet', 'nation.parquet')").withColumn("ord", F.col("id"))
+    rows = star_graph(spark, sf_dir).nodes.withColumn("ord", F.col("id"))
     return merge.first_wins(rows, ["label"]).select("id", "label", "source_file")
 
 
-@query("SELECT id, label, source_file FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS k FROM g_nodes WHERE source_file IN ('part.parquet', 'nation.parquet')) WHERE k = 1")
+@query("SELECT id, label, source_file FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS k FROM g_nodes) WHERE k = 1")
 def node_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star_graph(spark, sf_dir).nodes.where("source_file IN ('part.parquet', 'nation.parquet')").withColumn("ord", F.col("id"))
+    rows = star_graph(spark, sf_dir).nodes.withColumn("ord", F.col("id"))
     return merge.last_wins(rows, ["label"]).select("id", "label", "source_file")
 
 
@@ -241,21 +241,20 @@ def prefix_and_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.where("source_file != 'order.parquet'").select("id", "repo", "local_id")
 
 
-@query("SELECT CASE WHEN source = 'supplier:2' THEN 'supplier:1' ELSE source END AS source, CASE WHEN target = 'nation:2' THEN 'nation:1' ELSE target END AS target, relation FROM g_edges WHERE relation IN ('references', 'uses')")
+@query("SELECT CASE source WHEN 'supplier:2' THEN 'supplier:1' WHEN 'nation:2' THEN 'nation:1' ELSE source END AS source, CASE target WHEN 'supplier:2' THEN 'supplier:1' WHEN 'nation:2' THEN 'nation:1' ELSE target END AS target, relation FROM g_edges")
 def remap_rewire(spark: SparkSession, sf_dir: str) -> DataFrame:
     remap = spark.createDataFrame([("supplier:2", "supplier:1"), ("nation:2", "nation:1")], "id string, winner string")
-    return merge.rewire(star_graph(spark, sf_dir).edges.where("relation IN ('references', 'uses')"), remap).select("source", "target", "relation")
+    return merge.rewire(star_graph(spark, sf_dir).edges, remap).select("source", "target", "relation")
 
 
-SEARCH_SQL = """terms AS (SELECT * FROM (VALUES ('{a}'), ('{b}')) t(t)), s_nodes AS (SELECT id, lower(label) AS l, label, lower(source_file) AS f FROM g_nodes WHERE source_file IN ('part.parquet', 'nation.parquet', 'region.parquet')),
+SEARCH_SQL = """terms AS (SELECT * FROM (VALUES ('{a}'), ('{b}')) t(t)), s_nodes AS (SELECT id, lower(label) AS l, label, lower(source_file) AS f FROM g_nodes),
 idf AS (SELECT t, ln(1 + (SELECT count(*) FROM s_nodes)::DOUBLE / (1 + (SELECT count(*) FROM s_nodes WHERE contains(l, t)))) AS w FROM terms),
 s_score AS (SELECT id, label, (SELECT sum(CASE WHEN l = t THEN 1000 * w WHEN starts_with(l, t) THEN 100 * w WHEN contains(l, t) THEN w ELSE 0 END + CASE WHEN contains(f, t) THEN 0.5 * w ELSE 0 END) FROM idf)
  + CASE WHEN l = '{a} {b}' OR lower(id) = '{a} {b}' THEN 10000 ELSE CASE WHEN starts_with(l, '{a} {b}') THEN 1000 ELSE 0 END END * (SELECT max(w) FROM idf) AS score FROM s_nodes)"""
 
 
 def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = star_graph(spark, sf_dir).nodes.where("source_file IN ('part.parquet', 'nation.parquet', 'region.parquet')")
-    return search.score_nodes(nodes, "part green")
+    return search.score_nodes(star_graph(spark, sf_dir).nodes, "part green")
 
 
 @query("SELECT id, label, round(score, 6)::DOUBLE AS score FROM s_score WHERE score > 0 ORDER BY score DESC, length(label), id LIMIT 20", extra=SEARCH_SQL.format(a="part", b="green"))
@@ -283,17 +282,16 @@ def resolve_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.resolve_seed(star_graph(spark, sf_dir).nodes, "Asia")
 
 
-@query("SELECT id FROM g_nodes WHERE source_file = 'part.parquet' AND contains(lower(label), 'hot')")
+@query("SELECT id FROM g_nodes WHERE contains(lower(label), 'hot')")
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = star_graph(spark, sf_dir).nodes.where("source_file = 'part.parquet'")
+    nodes = star_graph(spark, sf_dir).nodes
     hits = search.trigram_candidates(search.trigram_index(nodes), "hot").join(nodes.select("id", "label"), "id")
     return hits.where(F.contains(F.lower("label"), F.lit("hot"))).select("id")
 
 
-@query("SELECT id, cum_chars FROM (SELECT id, sum(length(label) + 1) OVER (ORDER BY id)::BIGINT AS cum_chars FROM g_nodes WHERE source_file <> 'order.parquet') WHERE cum_chars <= 6000")
+@query("SELECT id, cum_chars FROM (SELECT id, sum(length(label) + 1) OVER (ORDER BY id)::BIGINT AS cum_chars FROM g_nodes) WHERE cum_chars <= 6000")
 def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = star_graph(spark, sf_dir).nodes.where("source_file != 'order.parquet'")
-    return search.within_budget(nodes, "label", ["id"], 2000).select("id", "cum_chars")
+    return search.within_budget(star_graph(spark, sf_dir).nodes, "label", ["id"], 2000).select("id", "cum_chars")
 
 
 @query("SELECT source, target, relation, context FROM g_edges WHERE context IN ('call', 'field')")
@@ -365,11 +363,11 @@ def community_surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.community_surprises(star_graph(spark, sf_dir))
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN a.community < 0 OR b.community < 0 THEN 'orphan' WHEN a.community = b.community THEN 'intra' ELSE 'inter' END AS kind FROM g_edges e JOIN g_nodes a ON a.id = e.source JOIN g_nodes b ON b.id = e.target) GROUP BY kind")
+@query("SELECT e.source, e.target, relation, CASE WHEN a.community < 0 OR b.community < 0 THEN 'orphan' WHEN a.community = b.community THEN 'intra' ELSE 'inter' END AS kind FROM g_edges e JOIN g_nodes a ON a.id = e.source JOIN g_nodes b ON b.id = e.target")
 def section_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
     rows = analysis.section_edges(g, g.nodes.where("community >= 0").select("id", F.col("community").alias("section")))
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("source", "target", "relation", "kind")
 
 
 @query()
@@ -377,10 +375,10 @@ def diagram_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.diagram_nodes(star_graph(spark, sf_dir))
 
 
-@query("SELECT 'pr' || (l_orderkey % 10) AS pr, count(DISTINCT p_size % 25) AS communities_touched, count(DISTINCT p_partkey) AS nodes_affected FROM (SELECT DISTINCT l_orderkey % 10 AS l_orderkey, l_partkey FROM lineitem WHERE l_orderkey < 500) JOIN part ON l_partkey = p_partkey GROUP BY 1", star=False)
+@query("SELECT 'pr' || (l_orderkey % 10) AS pr, count(DISTINCT p_size % 25) AS communities_touched, count(DISTINCT p_partkey) AS nodes_affected FROM (SELECT DISTINCT l_orderkey % 10 AS l_orderkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey GROUP BY 1", star=False)
 def pr_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed paths end in a part's path; the match is by suffix on whole parts."""
-    files = read(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.concat(F.lit("repo/src/p"), "l_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("pr"), (F.col("l_orderkey") % 10).cast("string")).alias("pr")).distinct()
+    files = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("repo/src/p"), "l_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("pr"), (F.col("l_orderkey") % 10).cast("string")).alias("pr")).distinct()
     nodes = read(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), (F.col("p_size") % 25).alias("community"), F.concat(F.lit("src/p"), "p_partkey", F.lit(".py")).alias("source_file"))
     return resolve.impact_of(files, nodes, "pr")
 

@@ -41,10 +41,10 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
 
 
-@query(f"SELECT kind, count(*) AS n FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'code' WHEN 2 THEN 'code' WHEN 3 THEN 'image' WHEN 5 THEN 'paper' WHEN 1 THEN 'document' END AS kind FROM ({PATHS_SQL})) GROUP BY kind")
+@query(f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'code' WHEN 2 THEN 'code' WHEN 3 THEN 'image' WHEN 5 THEN 'paper' WHEN 1 THEN 'document' END AS kind FROM ({PATHS_SQL})")
 def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = files.classify(F.col("path"), F.col("text"))
-    return _paths(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return _paths(spark, sf_dir).select("doc_id", kind.alias("kind"))
 
 
 @query(f"SELECT doc_id, path FROM ({PATHS_SQL}) WHERE doc_id % 6 = 4")
@@ -90,18 +90,18 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.manifest_diff(now, then)
 
 
-@query(f"SELECT sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS hits, sum(CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END)::BIGINT AS misses FROM ({PATHS_SQL})")
+@query(f"SELECT doc_id, path, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS value FROM ({PATHS_SQL})")
 def extraction_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _paths(spark, sf_dir).select("doc_id", "path", files.cache_key(F.col("path"), F.col("text")).alias("key"))
     cache = rows.where("doc_id % 3 = 0").select("key", F.col("doc_id").alias("value"))
     hits, misses = files.cache_split(rows, cache)
-    return hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(misses.agg(F.count(F.lit(1)).alias("misses")))  # two single rows
+    return hits.select("doc_id", "path", "value").unionAll(misses.select("doc_id", "path", F.lit(None).cast("long")))
 
 
-@query("SELECT count(*) AS n FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0")
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0")
 def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _paths(spark, sf_dir).select("doc_id", files.cache_key(F.col("path"), F.col("text")).alias("key"))
-    return files.cache_prune(rows.where("doc_id % 3 = 0").select("key"), rows.where("doc_id % 2 = 0")).agg(F.count(F.lit(1)).alias("n"))
+    return files.cache_prune(rows.where("doc_id % 3 = 0"), rows.where("doc_id % 2 = 0")).select("doc_id")
 
 
 @query()
@@ -151,16 +151,16 @@ def sanitise_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", P.sanitise(F.col("text")).alias("label"))
 
 
-@query("SELECT file_type, count(*) AS n FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'code' WHEN 2 THEN 'concept' WHEN 3 THEN 'paper' ELSE 'concept' END AS file_type FROM documents) GROUP BY 1")
+@query("SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'code' WHEN 2 THEN 'concept' WHEN 3 THEN 'paper' ELSE 'concept' END AS file_type, 'C:/x/' || source AS source_file FROM documents")
 def canonical_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.element_at(F.array(*(F.lit(x) for x in ("Markdown", "tool", "whatever", "pdf", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), raw.alias("file_type"), F.concat(F.lit("C:\\x\\"), "source").alias("source_file"))
-    return merge.canonical_nodes(rows).groupBy("file_type").agg(F.count(F.lit(1)).alias("n"))
+    return merge.canonical_nodes(rows).select("id", "file_type", "source_file")
 
 
 # ---- entities ----
 
-ENTITY_SQL = "SELECT 'doc:' || doc_id AS id, left(text, 60) AS label, CASE WHEN doc_id % 9 = 0 THEN 'code' ELSE 'concept' END AS file_type, source || '.md' AS source_file, doc_id AS ord FROM documents"
+ENTITY_SQL = "SELECT 'doc:' || doc_id AS id, text AS label, CASE WHEN doc_id % 9 = 0 THEN 'code' ELSE 'concept' END AS file_type, source || '.md' AS source_file, doc_id AS ord FROM documents"
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,12 +169,9 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.col("text").alias("label"), F.when(F.col("doc_id") % 9 == 0, "code").otherwise("concept").alias("file_type"), F.concat("source", F.lit(".md")).alias("source_file"), F.col("doc_id").alias("ord"))
 
 
-@query(f"SELECT source_file, n, count(*) AS groups FROM (SELECT source_file, trim(regexp_replace(lower(label), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm, count(DISTINCT id) AS n FROM ({ENTITY_SQL}) WHERE file_type <> 'code' GROUP BY ALL HAVING count(DISTINCT id) > 1 AND norm <> '') GROUP BY ALL")
+@query(f"SELECT source_file, ids FROM (SELECT source_file, list_sort(list(DISTINCT id)) AS ids, trim(regexp_replace(lower(label), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm FROM ({ENTITY_SQL}) WHERE file_type <> 'code' GROUP BY source_file, norm HAVING count(DISTINCT id) > 1 AND norm <> '')")
 def dedup_exact_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The only entity query that labels by the first 60 characters, as its SQL does."""
-    short = _entities(spark, sf_dir).withColumn("label", F.substring("label", 1, 60))
-    groups = entity.exact_groups(short.withColumn("norm", T.norm_udf("label")))
-    return groups.groupBy("source_file", F.size("ids").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("groups"))
+    return entity.exact_groups(_entities(spark, sf_dir).withColumn("norm", T.norm_udf("label"))).select("source_file", "ids")
 
 
 @query()
@@ -223,16 +220,16 @@ def dedup_veto_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- reference resolution: line items call parts by name, from their supplier's file ----
 
-CALLS_SQL = "SELECT l_orderkey * 10 + l_linenumber AS call_id, 'f' || (l_suppkey % 40) || '/m' || (l_partkey % 7) || '.py' AS file, lower(p_name) AS callee FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 2000"
+CALLS_SQL = "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS call_id, 'f' || (l_suppkey % 40) || '/m' || (l_partkey % 7) || '.py' AS file, lower(p_name) AS callee FROM lineitem JOIN part ON p_partkey = l_partkey"
 SYMBOLS_SQL = "SELECT 'part:' || p_partkey AS id, lower(p_name) AS name, 'f' || (p_partkey % 40) || '/m' || (p_size % 7) || '.py' AS file FROM part"
-IMPORTS_SQL = "SELECT DISTINCT 'f' || (l_suppkey % 40) || '/m' || (l_partkey % 7) || '.py' AS file, lower(p_name) AS name, 'f' || (p_partkey % 40) || '/m' || (p_size % 7) || '.py' AS from_file FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 2000 AND l_linenumber = 2"
+IMPORTS_SQL = "SELECT DISTINCT 'f' || (l_suppkey % 40) || '/m' || (l_partkey % 7) || '.py' AS file, lower(p_name) AS name, 'f' || (p_partkey % 40) || '/m' || (p_size % 7) || '.py' AS from_file FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 2"
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     part = read(spark, sf_dir, "part")
     place = lambda a, b: F.concat(F.lit("f"), (F.col(a) % 40).cast("string"), F.lit("/m"), (F.col(b) % 7).cast("string"), F.lit(".py"))
-    line = read(spark, sf_dir, "lineitem").where("l_orderkey < 2000").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    calls = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), place("l_suppkey", "l_partkey").alias("file"), F.lower("p_name").alias("callee"))
+    line = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    calls = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), place("l_suppkey", "l_partkey").alias("file"), F.lower("p_name").alias("callee")).distinct()
     symbols = part.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.lower("p_name").alias("name"), place("p_partkey", "p_size").alias("file"))
     imports = line.where("l_linenumber = 2").select(place("l_suppkey", "l_partkey").alias("file"), F.lower("p_name").alias("name"), place("p_partkey", "p_size").alias("from_file")).distinct()
     return calls, symbols, imports
@@ -240,13 +237,16 @@ def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 @query(f"""WITH c AS ({CALLS_SQL}), s AS ({SYMBOLS_SQL}), i AS ({IMPORTS_SQL}),
 u AS (SELECT file, name, min(id) AS id FROM s GROUP BY ALL HAVING count(DISTINCT id) = 1),
-t AS (SELECT call_id, id AS target, 0 AS prio, 'EXTRACTED' AS confidence FROM c JOIN u ON u.file = c.file AND u.name = c.callee
- UNION ALL SELECT call_id, u.id, 1, 'EXTRACTED' FROM c JOIN i ON i.file = c.file AND i.name = c.callee JOIN u ON u.file = i.from_file AND u.name = i.name
- UNION ALL SELECT call_id, s.id, 3, CASE WHEN (SELECT count(*) FROM s z WHERE z.name = s.name) = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END FROM c JOIN s ON s.name = c.callee)
-SELECT confidence, count(*) AS n, count(DISTINCT call_id) AS calls FROM (SELECT DISTINCT call_id, target, confidence FROM (SELECT *, rank() OVER (PARTITION BY call_id ORDER BY prio) AS r FROM t) WHERE r = 1) GROUP BY confidence""")
+t AS (SELECT call_id, c.file, callee, id AS target, 0 AS prio FROM c JOIN u ON u.file = c.file AND u.name = c.callee
+ UNION ALL SELECT call_id, c.file, callee, u.id, 1 FROM c JOIN i ON i.file = c.file AND i.name = c.callee JOIN u ON u.file = i.from_file AND u.name = i.name
+),
+h AS (SELECT call_id, file, callee, count(DISTINCT target) AS n, min(target) AS first FROM (SELECT *, rank() OVER (PARTITION BY call_id, file, callee ORDER BY prio) AS r FROM t) WHERE r = 1 GROUP BY call_id, file, callee),
+z AS (SELECT name, count(DISTINCT id) AS n, min(id) AS one FROM s GROUP BY name)
+SELECT call_id, CASE WHEN h.n IS NOT NULL THEN 'EXTRACTED' WHEN z.n = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence, coalesce(h.n, z.n) AS n_targets, coalesce(first, CASE WHEN z.n = 1 THEN one END) AS target FROM c LEFT JOIN h USING (call_id, file, callee) JOIN z ON z.name = c.callee""")
 def resolve_call_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, symbols, imports = _calls(spark, sf_dir)
-    return resolve.call_tiers(calls, symbols, imports).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("call_id").alias("calls"))
+    """All line items; several equal names stay a class, told by their number."""
+    best = resolve.best_tiers(*_calls(spark, sf_dir))
+    return best.select("call_id", "confidence", "n_targets", F.get("targets", F.lit(0)).alias("target"))
 
 
 @query(f"WITH c AS ({CALLS_SQL}), s AS ({SYMBOLS_SQL}), i AS ({IMPORTS_SQL}), u AS (SELECT file, name, min(id) AS id FROM s GROUP BY ALL HAVING count(DISTINCT id) = 1) SELECT DISTINCT c.file AS caller, u.id AS target FROM c JOIN i ON i.file = c.file AND i.name = c.callee JOIN u ON u.file = i.from_file AND u.name = i.name")
@@ -256,10 +256,10 @@ def import_guided_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.import_guided(calls.select(F.col("file").alias("caller"), "callee", "file"), imports, symbols.withColumnRenamed("file", "module_stem"))
 
 
-@query(f"""WITH c AS ({CALLS_SQL}), s AS (SELECT DISTINCT id, name, file FROM ({SYMBOLS_SQL})), p AS (SELECT call_id, s.id AS target, c.file AS cf, s.file AS tf FROM c JOIN s ON s.name = c.callee),
-g AS (SELECT *, count(*) OVER (PARTITION BY call_id) AS many, CASE WHEN cf = tf THEN 1000 WHEN split_part(cf, '/', 1) = split_part(tf, '/', 1) THEN 999 ELSE 0 END AS near FROM p),
-t AS (SELECT *, CASE WHEN many = 1 THEN 2000 ELSE near END AS tier FROM g), b AS (SELECT *, max(tier) OVER (PARTITION BY call_id) AS best FROM t)
-SELECT call_id, target FROM (SELECT *, count(*) OVER (PARTITION BY call_id) AS k FROM b WHERE tier = best AND tier > 0) WHERE k = 1""")
+@query(f"""WITH c AS ({CALLS_SQL}), s AS (SELECT DISTINCT id, name, file FROM ({SYMBOLS_SQL})), p AS (SELECT call_id, callee, s.id AS target, c.file AS cf, s.file AS tf FROM c JOIN s ON s.name = c.callee),
+g AS (SELECT *, count(*) OVER (PARTITION BY call_id, cf, callee) AS many, CASE WHEN cf = tf THEN 1000 WHEN split_part(cf, '/', 1) = split_part(tf, '/', 1) THEN 999 ELSE 0 END AS near FROM p),
+t AS (SELECT *, CASE WHEN many = 1 THEN 2000 ELSE near END AS tier FROM g), b AS (SELECT *, max(tier) OVER (PARTITION BY call_id, cf, callee) AS best FROM t)
+SELECT call_id, target FROM (SELECT *, count(*) OVER (PARTITION BY call_id, cf, callee) AS k FROM b WHERE tier = best AND tier > 0) WHERE k = 1""")
 def bare_name_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, symbols, _ = _calls(spark, sf_dir)
     return resolve.bare_name(calls.withColumnRenamed("file", "call_file"), symbols)
@@ -367,15 +367,15 @@ def operation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.entry_points(read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
-@query(f"SELECT tier, count(*) AS n FROM (SELECT CASE WHEN doc_id % 6 = 4 AND false THEN 'common' ELSE CASE WHEN doc_id % 2 = 0 THEN 'barrel' ELSE 'business' END END AS tier FROM ({PATHS_SQL})) GROUP BY tier")
+@query(f"SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'barrel' ELSE 'business' END AS tier FROM ({PATHS_SQL})")
 def file_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _paths(spark, sf_dir)
-    return grouping.file_tiers(paths.select("path"), paths.where("doc_id % 2 = 1").select("path")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return grouping.file_tiers(paths.select("path"), paths.where("doc_id % 2 = 1").select("path")).select("path", "tier")
 
 
-@query(f"SELECT category, count(*) AS n FROM (SELECT split_part(path, '/', 1) AS category FROM ({PATHS_SQL})) GROUP BY category")
+@query(f"SELECT path, split_part(path, '/', 1) AS category FROM ({PATHS_SQL})")
 def folder_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.folder_partition(_paths(spark, sf_dir).select("path")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return grouping.folder_partition(_paths(spark, sf_dir).select("path")).select("path", "category")
 
 
 @query("SELECT 'commerce' AS domain, 3::BIGINT AS hits")
@@ -439,7 +439,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("role = 'assistant' AND r = 'user'").select("conv_id", "turn", F.col("text").alias("answer"), "question")
 
 
-@query("SELECT count(DISTINCT gram) AS grams, count(*) AS postings FROM (SELECT DISTINCT p_partkey, unnest(CASE WHEN length(l) < 3 THEN [l] ELSE list_transform(range(1, length(l) - 1), lambda i: substr(l, i, 3)) END) AS gram FROM (SELECT p_partkey, lower(p_name) AS l FROM part))")
+@query("SELECT gram, p_partkey AS id FROM (SELECT DISTINCT p_partkey, unnest(CASE WHEN length(l) < 3 THEN [l] ELSE list_transform(range(1, length(l) - 1), lambda i: substr(l, i, 3)) END) AS gram FROM (SELECT p_partkey, lower(p_name) AS l FROM part))")
 def trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
-    return search.trigram_index(nodes).agg(F.count_distinct("gram").alias("grams"), F.count(F.lit(1)).alias("postings"))
+    return search.trigram_index(nodes)

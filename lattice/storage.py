@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a private folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a private folder only where it is unset and the master is local (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="lattice-")
         spark.sparkContext.setCheckpointDir(configured)
         configured = spark.sparkContext.getCheckpointDir() or configured
@@ -21,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches of at most ``most`` bytes: long texts must not add up to what a worker cannot hold.
 
-    Only a larger or unbounded setting is lowered; the user's smaller one stays.
+    Only a larger or unbounded setting is lowered, for the rest of the session, as plans run later than they are
+    made; the user's smaller one stays.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
