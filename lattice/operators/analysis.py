@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattice.functions import predicates as P
 from lattice.model import STRUCTURAL_RELATIONS, PropertyGraph
 from lattice.operators import stats
+from lattice.storage import stored
 
 
 def _described(g: PropertyGraph) -> DataFrame:
@@ -105,6 +108,37 @@ def diagram_nodes(g: PropertyGraph, entries: int = 5, limit: int = 20) -> DataFr
     return first.unionAll(rest).orderBy("phase", "id").limit(limit)
 
 
+def question_contexts(spark: SparkSession, g: PropertyGraph, questions: dict[str, list[str]], depth: int = 3, seeds: int = 3) -> DataFrame:
+    """(question, chars) of the text that answers each question: a line per node and per edge walked.
+
+    A question's seeds are the nodes whose labels hold most of its terms (ties: the largest id); all nodes within ``depth``
+    steps come along, hubs too. All questions walk together, a row for each question and node, and every frontier is written
+    once. A question that no label matches has no row.
+    """
+    label = F.lower(F.coalesce("label", F.lit("")))
+    asked = [(q, sum((F.when(F.contains(label, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))) for q, terms in questions.items()]
+    hits = g.nodes.select("id", F.explode(F.array(*(F.struct(F.lit(q).alias("question"), n.alias("hits")) for q, n in asked))).alias("h")).select("h.question", "h.hits", "id").where("hits > 0")
+    best = Window.partitionBy("question").orderBy(F.desc("hits"), F.desc("id"))
+    front = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= seeds).select("question", "id")
+    there = g.edges.select("source", "target", "relation")
+    back = there.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation")
+    near = stored(spark, there.unionAll(back).where("source != target").groupBy("source", "target").agg(F.min("relation").alias("relation")), "near")
+    levels, walked = [stored(spark, front, "front")], []
+    for _ in range(depth):
+        step = near.join(levels[-1].withColumnRenamed("id", "source"), "source")
+        for seen in levels:
+            step = step.join(seen.withColumnRenamed("id", "target"), ["question", "target"], "left_anti")
+        walked.append(stored(spark, step.select("question", "source", "target", "relation"), "walked"))
+        levels.append(stored(spark, walked[-1].select("question", F.col("target").alias("id")).distinct(), "front"))
+    place = F.coalesce("source_location", F.lit("")) if "source_location" in g.nodes.columns else F.lit("")
+    about = g.nodes.select("id", F.coalesce("label", "id").alias("label"), F.concat(F.lit("NODE "), F.coalesce("label", "id"), F.lit(" src="), F.coalesce("source_file", F.lit("")), F.lit(" loc="), place).alias("line"))
+    side = lambda c, n: about.select(F.col("id").alias(c), F.col("label").alias(n))
+    lines = reduce(DataFrame.unionAll, levels).join(about, "id").select("question", "line")
+    edges = reduce(DataFrame.unionAll, walked).join(side("source", "u"), "source").join(side("target", "v"), "target")
+    lines = lines.unionAll(edges.select("question", F.concat(F.lit("EDGE "), "u", F.lit(" --"), F.coalesce("relation", F.lit("")), F.lit("--> "), "v").alias("line")))
+    return lines.groupBy("question").agg((F.sum(F.length("line") + 1) - 1).alias("chars"))
+
+
 def token_reduction(words: DataFrame, contexts: DataFrame) -> DataFrame:
     """corpus tokens (words * 100 div 75) against each question's context tokens (chars div 4).
 

@@ -9,7 +9,7 @@ from lattice.functions import predicates as P
 from lattice.functions import text as T
 from lattice.model import PropertyGraph
 from lattice.operators import analysis, communities, entity, grouping, memory, merge, resolve, search, stats, traverse
-from lattice.plans.star import read, star_graph
+from lattice.plans.star import STAR_SQL, read, star_graph
 from lattice.sources import files, formats
 from lattice.storage import bound_batches
 from lattice.streaming import streams
@@ -109,9 +109,12 @@ def doc_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.slices(read(spark, sf_dir, "documents"), 2000)
 
 
-@query()
+@query(f"""WITH RECURSIVE f AS (SELECT path, greatest(1, length(coalesce(text, '')) // 4) AS tokens, ends_with(path, '.png') AS image, row_number() OVER (ORDER BY string_split(regexp_replace(path, '/?[^/]*$', ''), '/'), path) AS k FROM ({PATHS_SQL})),
+w AS (SELECT k, path, 0 AS chunk, tokens AS used, image::INT AS images FROM f WHERE k = 1
+ UNION ALL SELECT f.k, f.path, CASE WHEN w.used + f.tokens > 4000 OR (f.image AND w.images >= 20) THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.used + f.tokens > 4000 OR (f.image AND w.images >= 20) THEN f.tokens ELSE w.used + f.tokens END, CASE WHEN w.used + f.tokens > 4000 OR (f.image AND w.images >= 20) THEN f.image::INT ELSE w.images + f.image::INT END FROM w JOIN f ON f.k = w.k + 1)
+SELECT path, chunk::INT AS chunk FROM w""")
 def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.pack(_paths(spark, sf_dir).select("path", F.greatest(F.lit(1), F.expr("length(text) div 4")).alias("tokens")), 4000)
+    return files.pack(_paths(spark, sf_dir).select("path", F.greatest(F.lit(1), F.expr("length(coalesce(text, '')) div 4")).alias("tokens")), 4000)
 
 
 @query("SELECT page_id, CASE WHEN contains(lower(url), 'twitter.com') OR contains(lower(url), 'x.com') THEN 'tweet' WHEN contains(lower(url), 'github.com') THEN 'github' ELSE 'webpage' END AS kind FROM pages")
@@ -134,11 +137,38 @@ def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.tree_rollup(read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("path")))
 
 
-@query("WITH w AS (SELECT sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n FROM documents) SELECT source AS question, greatest(1, sum(length(text)) // 40)::BIGINT AS query_tokens, (SELECT n * 100 // 75 FROM w)::BIGINT AS corpus_tokens, round_even((SELECT n * 100 // 75 FROM w) / greatest(1, sum(length(text)) // 40), 1)::DOUBLE AS reduction FROM documents GROUP BY source")
+QUESTIONS = {
+    "which customers live in asia": ["customers", "live", "asia"],
+    "what is green and hot": ["green", "hot"],
+    "who supplies china and japan": ["supplies", "china", "japan"],
+    "how does order 77 reach europe": ["order 77", "europe"],
+    "how does authentication work": ["authentication"],
+}
+
+
+def _reduction_sql(depth: int = 3) -> str:
+    """Seeds, three levels, and the lines of nodes and walked edges, for all questions at once."""
+    terms = ", ".join(f"('{q}', '{t}')" for q, ts in QUESTIONS.items() for t in ts)
+    sql = f"""WITH {STAR_SQL}, terms AS (SELECT * FROM (VALUES {terms}) v(question, t)),
+d0 AS (SELECT question, id FROM (SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY count(*) DESC, id DESC) AS r FROM g_nodes JOIN terms ON contains(lower(label), t) GROUP BY question, id) WHERE r <= 3),
+near AS (SELECT a, b, min(relation) AS relation FROM (SELECT source AS a, target AS b, relation FROM g_edges UNION ALL SELECT target, source, relation FROM g_edges) GROUP BY a, b)"""
+    for k in range(depth):
+        seen = " UNION ALL ".join(f"SELECT question, id FROM d{i}" for i in range(k + 1))
+        sql += f", w{k} AS (SELECT question, a, b, relation FROM d{k} JOIN near ON a = id WHERE (question, b) NOT IN ({seen})), d{k + 1} AS (SELECT DISTINCT question, b AS id FROM w{k})"
+    nodes = " UNION ALL ".join(f"SELECT question, id FROM d{k}" for k in range(depth + 1))
+    edges = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(depth))
+    return sql + f""", lines AS (SELECT question, length('NODE ' || label || ' src=' || source_file || ' loc=') AS n FROM ({nodes}) JOIN g_nodes USING (id)
+ UNION ALL SELECT question, length('EDGE ' || u.label || ' --' || relation || '--> ' || v.label) FROM ({edges}) JOIN g_nodes u ON u.id = a JOIN g_nodes v ON v.id = b),
+c AS (SELECT question, greatest(1, (sum(n + 1) - 1) // 4)::BIGINT AS query_tokens FROM lines GROUP BY question),
+w AS (SELECT sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::BIGINT * 100 // 75 AS corpus_tokens FROM documents)
+SELECT question, query_tokens, corpus_tokens::BIGINT AS corpus_tokens, round_even(corpus_tokens / query_tokens, 1)::DOUBLE AS reduction FROM c, w"""
+
+
+@query(_reduction_sql())
 def token_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    words = docs.agg(F.sum(files.word_count(F.col("text"))).alias("n_words"))
-    return analysis.token_reduction(words, docs.groupBy(F.col("source").alias("question")).agg(F.expr("sum(length(text)) div 10").alias("chars")))
+    """The corpus against the text that a depth-3 walk from each question's seeds renders, over the star graph."""
+    words = read(spark, sf_dir, "documents").agg(F.sum(files.word_count(F.col("text"))).alias("n_words"))
+    return analysis.token_reduction(words, analysis.question_contexts(spark, star_graph(spark, sf_dir), QUESTIONS))
 
 
 @query("SELECT source, count(*) AS files, sum(greatest(1, length(text) // 4))::BIGINT AS tokens FROM documents GROUP BY source")
@@ -354,6 +384,16 @@ def louvain_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.louvain(spark, g.nodes, g.edges)
 
 
+CLUSTER_SQL = "SELECT id, dense_rank() OVER (ORDER BY size DESC, low)::INT - 1 AS community FROM (SELECT id, count(*) OVER (PARTITION BY g) AS size, min(id) OVER (PARTITION BY g) AS low FROM (SELECT 'nation:' || n_nationkey AS id, n_nationkey::VARCHAR AS g FROM nation UNION ALL SELECT 'customer:' || c_custkey, c_nationkey::VARCHAR FROM customer UNION ALL SELECT 'part:' || p_partkey, 'p' || p_partkey FROM part))"
+
+
+@query(CLUSTER_SQL)
+def cluster_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers around their nations, and parts without a link: a star joins its centre and can't be split, a loose node stands alone."""
+    g = star_graph(spark, sf_dir)
+    return communities.cluster(spark, g.nodes.where("source_file IN ('nation.parquet', 'customer.parquet', 'part.parquet')"), g.edges.where("source_file = 'customer.parquet'"))
+
+
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _modules(spark, sf_dir)

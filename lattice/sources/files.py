@@ -135,6 +135,10 @@ def cache_prune(cache: DataFrame, live: DataFrame) -> DataFrame:
     return cache.join(live.select("key"), "key", "left_semi")
 
 
+# Images in a chunk, and what counts as one.
+MAX_IMAGES, IMAGE = 20, r"\.(png|jpg|jpeg|webp|gif)$"
+
+
 def slice_bounds(text: str, most: int) -> list[tuple[int, int]]:
     """Ranges that cover the text, each at most ``most`` long, cut before a heading, else after a blank line or newline."""
     out, at = [], 0
@@ -158,24 +162,27 @@ def slices(docs: DataFrame, most: int = 20_000) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, idx int, start int, stop int")
 
 
-def pack(files: DataFrame, budget: int) -> DataFrame:
-    """path, chunk: files in directory order, filled greedily to a token budget, one directory's files together.
+def pack(files: DataFrame, budget: int, images: int = MAX_IMAGES) -> DataFrame:
+    """path, chunk: files by directory, then path, filled greedily to a token budget and ``images`` images a chunk.
 
-    Greedy filling is sequential, so it runs per top directory; a file over the budget is a chunk of its own.
-    files: path, tokens.
+    A chunk goes on over directories. Greedy filling is sequential: the files are sorted by all tasks and read through one,
+    which holds one batch and three numbers. A file over the budget is a chunk of its own. files: path, tokens.
     """
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, chunk, used, out = pdf.sort_values(["dir", "path"]), 0, 0, []
-        for t in pdf.tokens:
-            if used and used + t > budget:
-                chunk, used = chunk + 1, 0
-            used += t
-            out.append(chunk)
-        return pd.DataFrame({"top": pdf.top, "path": pdf.path, "chunk": out})
-
-    rows = files.select(P.top_dir(F.col("path")).alias("top"), F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "path", "tokens")
-    return rows.groupBy("top").applyInPandas(fill, "top string, path string, chunk int")
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk = used = seen = 0
+        for pdf in batches:
+            out = []
+            for tokens, image in zip(pdf.tokens, pdf.image, strict=True):
+                if used and (used + tokens > budget or (image and seen >= images)):
+                    chunk, used, seen = chunk + 1, 0, 0
+                used, seen = used + tokens, seen + bool(image)
+                out.append(chunk)
+            yield pd.DataFrame({"path": pdf.path, "chunk": out}).astype({"chunk": "int32"})
+
+    folder = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    rows = files.select("path", "tokens", F.regexp_like(F.lower("path"), F.lit(IMAGE)).alias("image"), folder.alias("folder"))
+    return rows.orderBy("folder", "path").coalesce(1).select("path", "tokens", "image").mapInPandas(fill, "path string, chunk int")
 
 
 def url_type(url: Column) -> Column:
