@@ -1,4 +1,8 @@
-"""Corpus pipeline: quality, near duplicates, decontamination, mixing, token shards, each on what the last one kept."""
+"""Corpus pipeline: quality, near duplicates, decontamination, mixing, token shards, each on what the last one kept.
+
+All stages but the last return the columns of their input, whatever else it holds; rows, not ids, are kept or dropped,
+so null and repeated doc_ids are allowed throughout; an empty table passes through all stages as an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,46 @@ from lattice.storage import stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose neighbour vote reaches 0.3."""
+    """Documents whose neighbour vote reaches 0.3.
+
+    Null and empty texts are scored like any other text, by the vote on a text without terms; equal texts score
+    alike, so they stay or go together; without usable labels every text gets the smoothed share of good ones.
+    """
     return quality.keep_good(spark, docs, quality.fit(spark, docs, queries.table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at Jaccard 0.75 on five-word shingles."""
+    """One row of each group linked at Jaccard 0.75 on five-word shingles: the smallest doc_id, a null one last.
+
+    Rows without words (null, empty or white text) link with nothing and all stay; of rows with one id and one set of
+    shingles the first by text stays; a repeated id may keep one text and lose another.
+    """
     return jaccard.deduplicate(spark, docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage, re-parameterised ones included."""
+    """Documents without a benchmark passage, re-parameterised ones included.
+
+    Null and empty texts hold no passage and stay; a leaking text goes with every row that has it, with any id or none;
+    null or very short items match nothing; an empty benchmark drops nothing.
+    """
     return decontam.decontaminate(spark, docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with their raked probabilities."""
+    """Documents drawn with their raked probabilities, their weights raked to the targets within the token budget.
+
+    Null source and lang are the value ''; a text without words weighs one token; the draw is a hash of the id (of the
+    text, where that is null), so repeated rows are drawn together and reruns agree.
+    """
     return mixing.sample(spark, docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of what is left, read back per document."""
+    """Token shards of what is left, read back per document: doc_id, start, n_tokens, ids_crc32.
+
+    In ascending doc_id order, null ids first, repeated ids by text; a null or empty text is its end id alone.
+    """
     return tokens.read_shards(tokens.write_shards(spark, docs, queries.tokenizer_path()))
 
 
