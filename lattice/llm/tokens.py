@@ -14,6 +14,7 @@ table gives no shards. Only (doc_id, text) are read, so further columns cannot c
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -164,6 +165,12 @@ class _Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    @staticmethod
+    def _splits(core: str) -> bool:
+        """Whether the punctuation after it can be cut off: it ends in a Latin letter or an ASCII digit."""
+        last = core[-1:]
+        return last < "\u0250" and (last.isalpha() or (last.isascii() and last.isalnum()))
+
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
             if len(self.tails) > 10_000:
@@ -191,31 +198,44 @@ class _Encoder:
 
     def _learn(self, units: list[str]) -> None:
         """Remember units; those that begin or end in white space, or hold two white spaces in a row, stay unknown."""
-        fresh: dict[str, None] = dict.fromkeys([" " + u for u in units if u.isalpha()])
+        fresh: dict[str, None] = {}
+        pairs: list[tuple[str, str, str]] = []
         plans: list[tuple[str, list[tuple[dict, str, str]]]] = []
+        known = self.units
         for u in units:
             if u.isalpha():
-                continue
-            lines = u.split("\n")
-            plan = []
-            for i, x in enumerate(lines):
-                if not x or x[0].isspace() or x[-1].isspace():
-                    plan = None
-                    break
-                core = x.rstrip(TAIL)
-                if len(core) == len(x) or not core or not (core[-1].isalnum() and ord(core[-1]) < 0x250 and (core[-1].isalpha() or core[-1].isascii())):
-                    core = x
-                table, lead = (self.lines, "\n") if i else (self.units, " ")
-                if core not in table:
-                    fresh[lead + core] = None
-                plan.append((table, core, x[len(core) :]))
-            if plan is None:
-                self.units[u] = None
-            elif len(plan) > 1 or plan[0][2]:
-                plans.append((u, plan))
+                fresh[" " + u] = None
+            elif "\n" not in u:
+                if not u or u[0].isspace() or u[-1].isspace():
+                    known[u] = None
+                    continue
+                core = u.rstrip(TAIL)
+                if len(core) == len(u) or not self._splits(core):
+                    fresh[" " + u] = None
+                    continue
+                if core not in known:
+                    fresh[" " + core] = None
+                pairs.append((u, core, u[len(core) :]))
+            else:
+                plan = []
+                for i, x in enumerate(u.split("\n")):
+                    if not x or x[0].isspace() or x[-1].isspace():
+                        known[u] = None
+                        break
+                    core = x.rstrip(TAIL)
+                    if len(core) == len(x) or not self._splits(core):
+                        core = x
+                    table, lead = (self.lines, "\n") if i else (known, " ")
+                    if core not in table:
+                        fresh[lead + core] = None
+                    plan.append((table, core, x[len(core) :]))
+                else:
+                    plans.append((u, plan))
         pieces = list(fresh)
         for piece, ids in zip(pieces, self._encode_pieces(pieces), strict=True):
             (self.units if piece[0] == " " else self.lines)[piece[1:]] = ids
+        for u, core, tail in pairs:
+            known[u] = known[core] + self._tail(tail)
         for u, plan in plans:
             self.units[u] = b"".join([table[core] + self._tail(tail) if tail else table[core] for table, core, tail in plan])
 
@@ -230,6 +250,13 @@ class _Encoder:
         if not self.by_piece:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         self._forget()
+        gc.disable()  # only strings and bytes are made, in no cycles, and the tables of pieces are long to walk
+        try:
+            return self._batch(texts)
+        finally:
+            gc.enable()
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         known, get = self.units, self.units.__getitem__
         marked = [any(t in s for t in self.added) for s in texts]
         cut = [[] if m else s.split(" ") for s, m in zip(texts, marked, strict=True)]
