@@ -66,6 +66,17 @@ def is_test_path(path: Column) -> Column:
     return inside | F.regexp_like(basename(F.lower(path)), F.lit(r"^(test_.*|.*_test\.[a-z]+|.*\.(test|spec)\.[a-z]+|conftest\.py)$"))
 
 
+def callable_name(label: Column) -> Column:
+    """The key that calls resolve by: no white space or parentheses around, no leading dots, lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(label), r"^[()]+|[()]+$", ""), r"^\.+", ""))
+
+
+def is_resolvable(file_type: Column, label: Column) -> Column:
+    """Whether a node can be the target of a call: code, named, and not by a source file's name; null never is."""
+    named = (F.trim(label) != "") & (callable_name(label) != "") & ~F.regexp_like(F.trim(label), F.lit(r"\.(py|js|ts|tsx|java|go|rs)$"))
+    return F.coalesce((file_type == "code") & named, F.lit(False))
+
+
 def sanitise(label: Column, cap: int = 256) -> Column:
     return F.substring(F.regexp_replace(label, r"[\x00-\x1f\x7f]", ""), 1, cap)
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattice.functions.text import strip_marks
+
 EXACT, PREFIX, SUBSTRING, SOURCE = 1000.0, 100.0, 1.0, 0.5
 
 
@@ -30,6 +32,23 @@ def tokens(question: str) -> list[str]:
     return [t for t in re.findall(r"\w+", question.lower()) if len(t) > 1]
 
 
+def segments(term: str) -> list[str]:
+    """Chinese terms as overlapping pairs of characters, with the whole term last; other terms as they are."""
+    if not any("\u4e00" <= c <= "\u9fff" for c in term):
+        return [term]
+    pairs = [term[i : i + 2] for i in range(len(term) - 1)]
+    return list(dict.fromkeys([*pairs, term]))
+
+
+def search_terms(question: str) -> list[str]:
+    """Words without marks, lower-cased and segmented; ASCII words of two letters or fewer do not count."""
+    import re
+
+    words = re.findall(r"\w+", strip_marks(question).lower())
+    terms = [t for w in words for t in segments(w)]
+    return [t for t in dict.fromkeys(terms) if len(t) > 2 or not (t.isascii() and t.isalpha())]
+
+
 def idf(nodes: DataFrame, terms: list[str]) -> dict[str, float]:
     """ln(1 + N / (1 + df)) of each query term; one conditional aggregation, one row to the driver."""
     label = norm_label(F.col("label"))

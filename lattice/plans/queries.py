@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattice.functions import predicates as P
 from lattice.model import PropertyGraph
 from lattice.operators import analysis, merge, resolve, search, stats, traverse
 from lattice.operators.components import connected_components
@@ -282,6 +283,12 @@ def resolve_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.resolve_seed(star_graph(spark, sf_dir).nodes, "Asia")
 
 
+@query("SELECT id, lower(regexp_replace(label, '^[()]+|[()]+$', '', 'g')) AS name FROM g_nodes WHERE trim(label) <> ''")
+def resolvable_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = star_graph(spark, sf_dir).nodes
+    return nodes.where(P.is_resolvable(F.col("file_type"), F.col("label"))).select("id", P.callable_name(F.col("label")).alias("name"))
+
+
 @query("SELECT id FROM g_nodes WHERE contains(lower(label), 'hot')")
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = star_graph(spark, sf_dir).nodes
@@ -370,7 +377,7 @@ def section_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "target", "relation", "kind")
 
 
-@query()
+@query("SELECT id, phase FROM (SELECT id, 0 AS phase FROM d_first UNION ALL SELECT DISTINCT id, 1 FROM (SELECT unnest([source, target]) AS id FROM (SELECT source, target FROM g_edges WHERE confidence = 'EXTRACTED' ORDER BY weight DESC, source, target LIMIT 20)) WHERE id NOT IN (SELECT id FROM d_first)) ORDER BY phase, id LIMIT 20", extra="d_first AS (SELECT n.id FROM g_nodes n LEFT JOIN (SELECT id, sum(d) AS d FROM (SELECT source AS id, 1 AS d FROM g_edges UNION ALL SELECT target, -1 FROM g_edges) GROUP BY id) e USING (id) ORDER BY coalesce(d, 0) DESC, n.id LIMIT 5)")
 def diagram_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.diagram_nodes(star_graph(spark, sf_dir))
 

@@ -104,7 +104,16 @@ def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.cache_prune(rows.where("doc_id % 3 = 0"), rows.where("doc_id % 2 = 0")).select("doc_id")
 
 
-@query()
+def _slice_end(at: str) -> str:
+    """Where the slice from ``at`` stops: before the last heading, after the last blank line, after the last newline, or full."""
+    last = lambda mark, n: f"{2000 - n} - length(string_split(substr(t, {at} + 1, 2000), {mark})[-1])"
+    heading, blank, line = last("chr(10) || '#'", 2), last("chr(10) || chr(10)", 2), last("chr(10)", 1)
+    return f"CASE WHEN n - {at} <= 2000 THEN n WHEN {heading} > 0 THEN {at} + {heading} + 1 WHEN {blank} > 0 THEN {at} + {blank} + 2 WHEN {line} > 0 THEN {at} + {line} + 1 ELSE {at} + 2000 END"
+
+
+@query(f"""WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, t, n, 0 AS idx, 0 AS start, {_slice_end("0")} AS stop FROM docs UNION ALL SELECT doc_id, t, n, idx + 1, stop, {_slice_end("stop")} FROM s WHERE stop < n)
+SELECT doc_id, idx::INT AS idx, start::INT AS start, stop::INT AS stop FROM s""")
 def doc_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.slices(read(spark, sf_dir, "documents"), 2000)
 
@@ -394,7 +403,11 @@ def cluster_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.cluster(spark, g.nodes.where("source_file IN ('nation.parquet', 'customer.parquet', 'part.parquet')"), g.edges.where("source_file = 'customer.parquet'"))
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT c_nationkey::VARCHAR AS a, s_nationkey::VARCHAR AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
+adj AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT count(*) AS n FROM nation),
+two AS (SELECT x.a AS s, y.b AS t, x.b AS v FROM adj x JOIN adj y ON y.a = x.b AND y.b <> x.a WHERE NOT EXISTS (SELECT 1 FROM adj z WHERE z.a = x.a AND z.b = y.b)),
+part AS (SELECT v, 1.0 / count(*) OVER (PARTITION BY s, t) AS share FROM two)
+SELECT n_nationkey::VARCHAR AS id, round(coalesce(sum(share), 0) / greatest(1, (any_value(n.n) - 1) * (any_value(n.n) - 2)), 9)::DOUBLE AS betweenness FROM nation CROSS JOIN n LEFT JOIN part ON v = n_nationkey::VARCHAR GROUP BY n_nationkey""")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _modules(spark, sf_dir)
     return communities.betweenness(spark, g.nodes, g.edges)

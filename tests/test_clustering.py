@@ -1,8 +1,11 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from lattice.functions import predicates as P
 from lattice.model import PropertyGraph
-from lattice.operators import analysis, communities, resolve
+from lattice.operators import analysis, communities, entity, resolve, search
 
 
 def graph(spark, nodes, edges):
@@ -92,3 +95,26 @@ def test_question_contexts(spark):
     got = {r.question: r.chars for r in analysis.question_contexts(spark, PropertyGraph(nodes, edges), {"q1": ["alpha"], "q2": ["none"], "q3": ["eps", "ta"]}, depth=2).collect()}
     lines = ["NODE Alpha src=f loc=", "NODE Beta src=f loc=", "NODE Gamma src= loc=", "EDGE Alpha --calls--> Beta", "EDGE Beta --uses--> Gamma"]
     assert got["q1"] == len("\n".join(lines)) and set(got) == {"q1", "q3"}
+
+
+def test_search_terms_segment_chinese():
+    assert search.search_terms("Où est 知识图谱 of the café") == ["est", "知识", "识图", "图谱", "知识图谱", "the", "cafe"]
+    assert search.segments("知") == ["知"] and search.segments("plain") == ["plain"]
+
+
+def test_resolvable_symbols(spark):
+    rows = [("code", " .Run() "), ("code", "main.py"), ("code", "()"), ("code", " "), ("document", "run"), (None, "x"), ("code", None)]
+    df = spark.createDataFrame(rows, "t string, l string")
+    got = [(r.ok, r.name) for r in df.select(P.is_resolvable(F.col("t"), F.col("l")).alias("ok"), P.callable_name(F.col("l")).alias("name")).collect()]
+    assert got[0] == (True, "run") and not any(ok for ok, _ in got[1:])
+
+
+def test_tie_break_settles_pairs_under_the_merge(spark):
+    judged = spark.createDataFrame([("a", "b", 80.0, None, "x", "y"), ("c", "d", 74.9, None, "x", "y"), ("e", "f", 92.0, None, "x", "y"), ("g", "h", 85.0, "digits", "x", "y")] + [(f"p{i}", f"q{i}", 90.0, None, str(i), "z") for i in range(70)], "a string, b string, score double, veto string, norm_a string, norm_b string").coalesce(1)
+
+    def decide(batch):
+        assert len(batch) <= 30
+        return [b == "y" or int(a) % 2 == 0 for a, b in batch]
+
+    got = {r.a for r in entity.tie_break(entity.undecided(judged), decide).collect()}
+    assert got == {"a"} | {f"p{i}" for i in range(0, 70, 2)}
