@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
+from lattice.llm.memory import released
 from lattice.storage import bound_batches, stored
 
 WIDTH, REACH, MOST = 20, 4, 32
@@ -164,7 +165,7 @@ def _coded(index):
                 codes = pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), values.ravel())
                 yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=[*batch.schema.names, "values"])
 
-    return run
+    return released(run)
 
 
 def _meet(k: int, width: int, reach: int):

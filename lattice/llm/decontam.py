@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.llm.columns import spare
+from lattice.llm.memory import released
 from lattice.storage import bound_batches, stored
 
 WIDTH, MIN_WINDOWS, MIN_LITERALS = 8, 6, 4
@@ -142,7 +143,7 @@ def _cut_items(min_windows: int, min_literals: int):
                         out.append((i, p, x, kinds, slots, width, (0 if own else 1) if rich[p] else 2, fixed, *needed))
                 yield _rows(out, schema)
 
-    return run
+    return released(run)
 
 
 def _cut(widths: list[int], bitmap, min_literals: int):
@@ -164,7 +165,7 @@ def _cut(widths: list[int], bitmap, min_literals: int):
                             out.append((i, p, x, kind[p + slots].tolist(), value[p + slots].view(np.int64).tolist(), width, row))
                 yield _rows(out, schema)
 
-    return run
+    return released(run)
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_windows: int = MIN_WINDOWS, min_literals: int = MIN_LITERALS) -> DataFrame:

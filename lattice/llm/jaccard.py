@@ -39,6 +39,7 @@ from pyspark.sql.window import Window
 
 from lattice.llm.columns import spare
 from lattice.operators.components import connected_components
+from lattice.llm.memory import released
 from lattice.storage import bound_batches, discard, stored
 
 #: Groups of a set of up to ``BASE_SIZE`` shingles; four times as many for each further factor of four, so that
@@ -178,7 +179,7 @@ def _profile(words: int):
         place = [TaskContext.get().partitionId() % 64] * len(parts)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((none, none, none, none, [p[0] for p in parts], place, [p[1] for p in parts]), names, strict=True)], schema=names)
 
-    return run
+    return released(run)
 
 
 def _sum_parts(table: pa.Table) -> pa.Table:
@@ -233,7 +234,7 @@ def _postings(words: int, percent: int, counts, bitmap):
                     keys.append(np.full(len(tokens[-1]), set_key(v)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))], names=["token", "key"])
 
-    return run
+    return released(run)
 
 
 def _sets(words: int, bitmap):
@@ -242,7 +243,7 @@ def _sets(words: int, bitmap):
             sets = [(d, shingle_hashes(t, words)) for passes, d, t in zip(_passes(bitmap.value, ids), ids, texts, strict=True) if passes]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.int64()), pa.array([set_key(v) for _, v in sets], pa.int64()), pa.array([v.tobytes() for _, v in sets], pa.binary())], names=["doc_id", "key", "shingles"])
 
-    return run
+    return released(run)
 
 
 def _bounded(percent: int):
@@ -264,7 +265,7 @@ def _bounded(percent: int):
                     fits[at] = overlap_bound(a, b) >= needed(n[at], m[at], percent)
             yield batch.select([0, 1]).filter(pa.array(fits))
 
-    return run
+    return released(run)
 
 
 def near_points(sizes: np.ndarray, counts: list[np.ndarray], percent: int, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -334,7 +335,7 @@ def _survivors(percent: int):
                     low, unit = (pa.array([batch.column(k)[i].as_py()] * int(left.sum()), pa.int64()) for k in (0, 1))
                     yield pa.RecordBatch.from_arrays([low, unit, *(points.field(k).filter(pa.array(left)) for k in ("key", "comp", "own"))], schema=names)
 
-    return run
+    return released(run)
 
 
 def _spanning_links(percent: int):
@@ -347,7 +348,7 @@ def _spanning_links(percent: int):
                 a, b = spanning_links(key, comp, sets, percent, own.astype(bool))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return released(run)
 
 
 def _exact(percent: int):
@@ -524,7 +525,7 @@ def _add_key(place: int, name: str, words: int):
             sets = [shingle_hashes(t, words) for t in batch.column(place).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(v) if len(v) else None for v in sets], pa.int64())], names=[*batch.schema.names, name])
 
-    return run
+    return released(run)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:

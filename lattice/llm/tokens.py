@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattice.llm.memory import released
 from lattice.storage import bound_batches, stored
 
 MAGIC = int.from_bytes(b"LTOK0001", "little")
 HEADER = ("magic", "n_docs", "n_null", "n_tokens", "id_width", "first_id", "b_low", "b_lows", "b_highs", "b_samples", "i_low", "i_lows", "i_highs", "i_samples", "seq", "reserved")
 SAMPLE = 64
 SHARD_TOKENS = 4_000_000
-CACHE_UNITS = 500_000
+CACHE_UNITS, REST_UNITS = 500_000, 100_000
 TAIL = "!#$%&()*+,-./:;<=>?@[]^_{|}~\""
 SHARDS = "range_no int, seq int, n_docs long, n_tokens long, payload binary"
 
@@ -239,17 +240,17 @@ class _Encoder:
         for u, plan in plans:
             self.units[u] = b"".join([table[core] + self._tail(tail) if tail else table[core] for table, core, tail in plan])
 
-    def _forget(self) -> None:
-        """Keep the first-learned half: frequent pieces come early."""
+    def forget(self, most: int = CACHE_UNITS, keep: int = CACHE_UNITS // 2) -> None:
+        """Where more than ``most`` pieces are known, the first-learned ``keep`` stay: frequent pieces come early."""
         for name in ("units", "lines"):
             table = getattr(self, name)
-            if len(table) > CACHE_UNITS:
-                setattr(self, name, dict(islice(table.items(), CACHE_UNITS // 2)))
+            if len(table) > most:
+                setattr(self, name, dict(islice(table.items(), keep)))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        self._forget()
+        self.forget()
         gc.disable()  # only strings and bytes are made, in no cycles, and the tables of pieces are long to walk
         try:
             return self._batch(texts)
@@ -301,8 +302,9 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                         seq, names, sizes, parts, held = seq + 1, [], [], [], 0
         if names:
             yield flush()
+        encoder.forget(REST_UNITS, REST_UNITS)  # the worker may wait long for its next task
 
-    return run
+    return released(run)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -331,5 +333,5 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """
     ahead = Window.orderBy("range_no", "seq").rowsBetween(Window.unboundedPreceding, -1)
     sizes = shards.select("range_no", "seq", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("before"))
-    rows = shards.select("range_no", "seq", "payload").mapInArrow(_read, "range_no int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    rows = shards.select("range_no", "seq", "payload").mapInArrow(released(_read), "range_no int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     return rows.join(sizes, ["range_no", "seq"]).select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

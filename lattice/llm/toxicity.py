@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattice.llm.memory import released
 from lattice.storage import bound_batches
 
 FOLDS, PIECE = 5, 5
@@ -147,7 +148,7 @@ def _train_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 16_000, **training) -> FactorizationMachine:
     rows = training_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels.withColumn("doc_id", F.col("doc_id").cast("long")), label, max_rows)
-    found = sorted(rows.mapInArrow(_train_terms, "doc_id long, y int, terms binary").collect(), key=lambda r: r.doc_id)
+    found = sorted(rows.mapInArrow(released(_train_terms), "doc_id long, y int, terms binary").collect(), key=lambda r: r.doc_id)
     return train([np.frombuffer(r.terms, np.uint32) for r in found], np.array([r.y for r in found], float), **training)
 
 
@@ -163,7 +164,7 @@ def score(spark: SparkSession, docs: DataFrame, model: FactorizationMachine, thr
                 found = shared.value.score([terms(t) for t in part.column(1).cast(pa.binary()).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
