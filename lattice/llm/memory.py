@@ -18,11 +18,26 @@ def give_back() -> None:
         return
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """The same Arrow function; its worker gives back spare memory when a task ends."""
+#: How to forget what a worker remembers between tasks, by the operator that has use for it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    """What ``forget`` drops stays in this worker until another operator's task begins in it."""
+    _remembered[owner] = forget
+
+
+def forget_others(owner: str) -> None:
+    for name in [n for n in _remembered if n != owner]:
+        _remembered.pop(name)()
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable:
+    """The same Arrow function; its worker first forgets what other operators remember, and gives back spare memory when a task ends."""
 
     @wraps(run)
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
         try:
             yield from run(batches)
         finally:

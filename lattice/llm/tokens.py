@@ -18,23 +18,26 @@ import gc
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattice.llm.memory import released
+from lattice.llm.memory import released, remember
 from lattice.storage import bound_batches, stored
 
 MAGIC = int.from_bytes(b"LTOK0001", "little")
 HEADER = ("magic", "n_docs", "n_null", "n_tokens", "id_width", "first_id", "b_low", "b_lows", "b_highs", "b_samples", "i_low", "i_lows", "i_highs", "i_samples", "seq", "reserved")
 SAMPLE = 64
 SHARD_TOKENS = 4_000_000
-CACHE_UNITS, REST_UNITS = 500_000, 100_000
+CACHE_UNITS, REST_UNITS, CALL_PIECES = 500_000, 250_000, 256
+BATCH_ROWS = 4096
+OWNER = "tokens"
 TAIL = "!#$%&()*+,-./:;<=>?@[]^_{|}~\""
 SHARDS = "range_no int, seq int, n_docs long, n_tokens long, payload binary"
 
@@ -134,9 +137,13 @@ class _Encoder:
     So a text cut before each single space or newline between two other characters, and before the
     punctuation that ends such a piece, encodes piece by piece. Other texts, and those that hold an added token such as
     an end-of-text mark, which the library gives its own id, are encoded as they are.
+
+    Arrow cuts a batch and finds its different units, so Python sees each unit once a batch. A unit is what follows a space;
+    what follows a newline keeps it, and a newline set before each text, whose id is taken off again, makes its start one of
+    these.
     """
 
-    kept: dict[tuple, _Encoder] = {}
+    cached: dict[tuple, _Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -147,21 +154,23 @@ class _Encoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.uint16 if self.width == 2 else np.uint32
         vocabulary = self.tok.get_vocab()
-        self.by_piece = "Ġ" in vocabulary and self.tok.normalizer is None
+        self.by_piece = "Ġ" in vocabulary and "Ċ" in vocabulary and self.tok.normalizer is None
         #: Added tokens are found in a text before it is cut into pieces, so texts that hold one go to the library whole.
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.newline = np.array([vocabulary.get("Ċ", 0)], self.kind).tobytes()
         self.lengths = np.zeros(size, np.int64)
         for word, i in vocabulary.items():
             self.lengths[i] = len(word)
-        self.units: dict[str, bytes | None] = {}  # what follows a space, by its text
-        self.lines: dict[str, bytes] = {}  # what follows a newline
+        #: Ids by unit, empty where a unit cannot be encoded by itself: those that came in several batches, and the others.
+        self.kept: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}  # punctuation after a letter or digit
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
+        if path not in cls.cached:
+            cls.cached[path] = cls(path)
+        return cls.cached[path]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -182,8 +191,8 @@ class _Encoder:
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each led by its own space or newline and free of both inside."""
         out: list[bytes] = []
-        for k in range(0, len(pieces), 8192):
-            part = pieces[k : k + 8192]
+        for k in range(0, len(pieces), CALL_PIECES):
+            part = pieces[k : k + CALL_PIECES]
             text = "".join(part)
             raw = np.frombuffer(text.encode(), np.uint8)
             ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
@@ -197,88 +206,92 @@ class _Encoder:
                 out += map(self._whole, part)
         return out
 
-    def _learn(self, units: list[str]) -> None:
-        """Remember units; those that begin or end in white space, or hold two white spaces in a row, stay unknown."""
-        fresh: dict[str, None] = {}
-        pairs: list[tuple[str, str, str]] = []
-        plans: list[tuple[str, list[tuple[dict, str, str]]]] = []
-        known = self.units
-        for u in units:
+    def _found(self, units: list[str]) -> list[bytes]:
+        """Ids of a batch's units, each of them once; empty for those that begin or end in white space beside a leading newline."""
+        kept, young = self.kept, self.young
+        found = list(map(kept.get, units))
+        fresh: list[int] = []
+        pairs: list[tuple[int, str, str]] = []
+        for i, ids in enumerate(found):
+            if ids is not None:
+                continue
+            u = units[i]
+            ids = young.pop(u, None)
+            if ids is not None:
+                found[i] = kept[u] = ids
+                continue
             if u.isalpha():
-                fresh[" " + u] = None
-            elif "\n" not in u:
-                if not u or u[0].isspace() or u[-1].isspace():
-                    known[u] = None
-                    continue
-                core = u.rstrip(TAIL)
-                if len(core) == len(u) or not self._splits(core):
-                    fresh[" " + u] = None
-                    continue
-                if core not in known:
-                    fresh[" " + core] = None
-                pairs.append((u, core, u[len(core) :]))
+                fresh.append(i)
+                continue
+            x = u[1:] if u[:1] == "\n" else u
+            if not x or x[0].isspace() or x[-1].isspace():
+                found[i] = young[u] = b""
+                continue
+            core = u.rstrip(TAIL)
+            if len(core) == len(u) or not self._splits(core):
+                fresh.append(i)
             else:
-                plan = []
-                for i, x in enumerate(u.split("\n")):
-                    if not x or x[0].isspace() or x[-1].isspace():
-                        known[u] = None
-                        break
-                    core = x.rstrip(TAIL)
-                    if len(core) == len(x) or not self._splits(core):
-                        core = x
-                    table, lead = (self.lines, "\n") if i else (known, " ")
-                    if core not in table:
-                        fresh[lead + core] = None
-                    plan.append((table, core, x[len(core) :]))
-                else:
-                    plans.append((u, plan))
-        pieces = list(fresh)
-        for piece, ids in zip(pieces, self._encode_pieces(pieces), strict=True):
-            (self.units if piece[0] == " " else self.lines)[piece[1:]] = ids
-        for u, core, tail in pairs:
-            known[u] = known[core] + self._tail(tail)
-        for u, plan in plans:
-            self.units[u] = b"".join([table[core] + self._tail(tail) if tail else table[core] for table, core, tail in plan])
+                pairs.append((i, core, u[len(core) :]))
+        learned = [units[i] for i in fresh]
+        for i, u, ids in zip(fresh, learned, self._encode_units(learned), strict=True):
+            found[i] = young[u] = ids
+        cores = list(dict.fromkeys(c for _, c, _ in pairs if c not in kept and c not in young))
+        young.update(zip(cores, self._encode_units(cores), strict=True))
+        for i, core, tail in pairs:
+            ids = kept[core] if core in kept else young[core]
+            found[i] = young[units[i]] = ids and ids + self._tail(tail)
+        return found
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of units; empty if a leading newline has no id of its own."""
+        pieces = [u if u[0] == "\n" else " " + u for u in units]
+        return [b"" if p[0] == "\n" and not ids.startswith(self.newline) else ids for p, ids in zip(pieces, self._encode_pieces(pieces), strict=True)]
 
     def forget(self, most: int = CACHE_UNITS, keep: int = CACHE_UNITS // 2) -> None:
-        """Where more than ``most`` pieces are known, the first-learned ``keep`` stay: frequent pieces come early."""
-        for name in ("units", "lines"):
-            table = getattr(self, name)
-            if len(table) > most:
-                setattr(self, name, dict(islice(table.items(), keep)))
+        """Where more than ``most`` units came again, the ``keep`` that did so first stay, frequent ones; of the others the latest."""
+        if len(self.kept) > most:
+            self.kept = dict(islice(self.kept.items(), keep))
+        if len(self.young) > most:
+            self.young = dict(islice(self.young.items(), len(self.young) - keep, None))
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        return self.encode(pa.array(texts, pa.large_string()))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, little-endian; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return []
         if not self.by_piece:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
         self.forget()
         gc.disable()  # only strings and bytes are made, in no cycles, and the tables of pieces are long to walk
         try:
-            return self._batch(texts)
+            return self._by_piece(texts)
         finally:
             gc.enable()
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        known, get = self.units, self.units.__getitem__
-        marked = [any(t in s for t in self.added) for s in texts]
-        cut = [[] if m else s.split(" ") for s, m in zip(texts, marked, strict=True)]
-        fresh = [x for x in set(chain.from_iterable(cut)) if x not in known]
-        if fresh:
-            self._learn(fresh)
-        out = []
-        for s, u, m in zip(texts, cut, marked, strict=True):
-            head = "" if m else u[0]
-            try:
-                if not head or head[0].isspace() or head[-1].isspace():
-                    raise TypeError
-                out.append(self._whole(head) + b"".join(map(get, islice(u, 1, None))))
-            except TypeError:
-                out.append(self._whole(s))
-        return out
+    def _by_piece(self, texts: pa.Array) -> list[bytes]:
+        first, glue = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        led = pc.binary_join_element_wise(first, pc.replace_substring(texts, "\n", " \n"), glue)
+        cut = pc.split_pattern(led, " ")
+        firsts = cut.offsets.to_numpy()
+        units = cut.flatten().dictionary_encode()
+        found = self._found(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        placed = units.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(sizes[placed])]
+        payload = memoryview(pa.array(found, pa.large_binary()).take(units.indices).buffers()[2] or b"")
+        whole = np.logical_or.reduceat((sizes == 0)[placed], firsts[:-1])
+        for mark in self.added:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        return [self._whole(texts[i].as_py()) if w else bytes(payload[a + self.width : b]) for i, (w, a, b) in enumerate(zip(whole.tolist(), ends[firsts[:-1]].tolist(), ends[firsts[1:]].tolist(), strict=True))]
 
 
 def _shards(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder.of(path)
+        remember(OWNER, _Encoder.cached.clear)
         end = np.array([end_id], encoder.kind).tobytes()
         schema = pa.schema([("range_no", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
         place, seq, names, sizes, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
@@ -289,10 +302,9 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([place], [seq], [len(names)], [int(ends[-1])], [payload]), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                ids = part.column(0).to_pylist()
-                for d, raw in zip(ids, encoder.batch([s or "" for s in part.column(1).to_pylist()]), strict=True):
+            for k in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(k, BATCH_ROWS)
+                for d, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     names.append(d)
                     parts += (raw, end)
                     sizes.append(len(raw) // encoder.width + 1)
@@ -304,7 +316,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             yield flush()
         encoder.forget(REST_UNITS, REST_UNITS)  # the worker may wait long for its next task
 
-    return released(run)
+    return released(run, OWNER)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -333,5 +345,5 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """
     ahead = Window.orderBy("range_no", "seq").rowsBetween(Window.unboundedPreceding, -1)
     sizes = shards.select("range_no", "seq", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("before"))
-    rows = shards.select("range_no", "seq", "payload").mapInArrow(released(_read), "range_no int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    rows = shards.select("range_no", "seq", "payload").mapInArrow(released(_read, OWNER), "range_no int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     return rows.join(sizes, ["range_no", "seq"]).select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

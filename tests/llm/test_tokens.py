@@ -69,3 +69,43 @@ def test_files_round_trip(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.read_shards(tokens.write_shards(spark, df, PATH)).count() == 0
+
+
+def counted(monkeypatch):
+    """A new encoder, and the pieces it gives to the library."""
+    encoder, asked = tokens._Encoder(PATH), []
+    encode = encoder._encode_pieces
+    monkeypatch.setattr(encoder, "_encode_pieces", lambda pieces: asked.extend(pieces) or encode(pieces))
+    return encoder, asked
+
+
+def test_units_that_come_again_stay_known_between_tasks(monkeypatch):
+    encoder, asked = counted(monkeypatch)
+    encoder.batch(["x " + " ".join(f"junk{i}" for i in range(tokens.REST_UNITS))])
+    texts = ["x zwiebelkuchen, straßenbahnen.\nZwiebelkuchen"]
+    encoder.batch(texts)
+    encoder.batch(texts)
+    encoder.forget(tokens.REST_UNITS, tokens.REST_UNITS)
+    asked.clear()
+    got = encoder.batch(texts)
+    assert asked == []
+    assert [np.frombuffer(g, np.uint16).tolist() for g in got] == plain(texts)
+
+
+def test_a_text_start_and_a_line_start_are_one_unit(monkeypatch):
+    encoder, asked = counted(monkeypatch)
+    calls, whole = [], encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda text: calls.append(text) or whole(text))
+    texts = ["Ostern kommt", "es ist so\nOstern kommt", "'s ist so", "so\n's", "\n", "", " so", "so\n\nso", "so \nso", "so\t\nso"]
+    got = encoder.batch(texts)
+    assert asked.count("\nOstern") == 1 and not {"Ostern kommt", "Ostern"} & set(calls)
+    assert [np.frombuffer(g, np.uint16).tolist() for g in got] == plain(texts)
+
+
+def test_another_operator_drops_the_known_units():
+    from lattice.llm.memory import released, remember
+
+    remember(tokens.OWNER, tokens._Encoder.cached.clear)
+    encoder = tokens._Encoder.of(PATH)
+    assert list(released(iter, tokens.OWNER)([])) == [] and tokens._Encoder.of(PATH) is encoder
+    assert list(released(iter)([])) == [] and not tokens._Encoder.cached
