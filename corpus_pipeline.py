@@ -12,6 +12,10 @@ from lattice.llm import decontam, jaccard, mixing, quality, queries, tokens
 from lattice.storage import stored
 
 
+#: Units that a worker of the last stage remembers.
+KNOWN_UNITS = 100_000
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose neighbour vote reaches 0.3.
 
@@ -51,9 +55,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of what is left, read back per document: doc_id, start, n_tokens, ids_crc32.
 
-    In ascending doc_id order, null ids first, repeated ids by text; a null or empty text is its end id alone.
+    In ascending doc_id order, null ids first, repeated ids by text; a null or empty text is its end id alone. Workers
+    remember fewer units than alone: the stages before have left the executors' heaps grown.
     """
-    return tokens.read_shards(tokens.write_shards(spark, docs, queries.tokenizer_path()))
+    return tokens.read_shards(tokens.write_shards(spark, docs, queries.tokenizer_path(), known_units=KNOWN_UNITS))
 
 
 STAGES = [

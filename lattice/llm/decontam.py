@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.llm.columns import spare
-from lattice.llm.memory import released
+from lattice.llm.memory import released, remember
 from lattice.storage import bound_batches, stored
 
 WIDTH, MIN_WINDOWS, MIN_LITERALS = 8, 6, 4
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
+OWNER = "decontam"
 UNITS = frozenset(b"% percent km m cm mm kg g mg lb lbs oz l ml s ms sec seconds second min minutes minute h hours hour days day weeks week months month years year miles mile feet foot ft inch inches meters metres meter metre kilometers kilometres kilograms grams liters litres dollars dollar euros euro usd eur cents pounds pound degrees c f k hz khz mhz ghz kb mb gb tb w kw mw v a".split())
 _NUMBER = re.compile(rb"[$\xc2\xa3\xe2\x82\xac#]*[+-]?\d[\d,.:/]*(?:st|nd|rd|th|%|[a-z]{1,3})?$", re.I)
 _EDGE = b"\"'()[]{}<>.,;:!?*&$%#|~`_-"
@@ -128,6 +129,7 @@ def _cut_items(min_windows: int, min_literals: int):
     schema = _schema("item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember(OWNER, _words.clear)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part, out = batch.slice(k, 256), []
@@ -143,13 +145,14 @@ def _cut_items(min_windows: int, min_literals: int):
                         out.append((i, p, x, kinds, slots, width, (0 if own else 1) if rich[p] else 2, fixed, *needed))
                 yield _rows(out, schema)
 
-    return released(run)
+    return released(run, OWNER)
 
 
 def _cut(widths: list[int], bitmap, min_literals: int):
     schema = _schema("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember(OWNER, _words.clear)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part, out = batch.slice(k, 256), []
@@ -165,7 +168,7 @@ def _cut(widths: list[int], bitmap, min_literals: int):
                             out.append((i, p, x, kind[p + slots].tolist(), value[p + slots].view(np.int64).tolist(), width, row))
                 yield _rows(out, schema)
 
-    return released(run)
+    return released(run, OWNER)
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_windows: int = MIN_WINDOWS, min_literals: int = MIN_LITERALS) -> DataFrame:

@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.llm.toxicity import held_out, training_rows
-from lattice.llm.memory import released
+from lattice.llm.memory import released, remember
 from lattice.storage import bound_batches
 
 _CLASSES = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 else 57 if 48 <= b <= 57 else 120 if b >= 128 else 32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
 _shapes: dict[bytes, bytes] = {}
+OWNER = "quality"
 
 
 def _shape(word: bytes) -> bytes:
@@ -104,6 +105,7 @@ def train(bags: list[dict[bytes, float]], labels: np.ndarray, dimensions: int =
 
 
 def _train_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remember(OWNER, _shapes.clear)
     for batch in batches:
         bags = [terms(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([list(b) for b in bags], pa.list_(pa.binary())), pa.array([list(b.values()) for b in bags], pa.list_(pa.float64()))], names=["doc_id", "y", "terms", "shares"])
@@ -111,7 +113,7 @@ def _train_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 4000, **training) -> Voter:
     rows = training_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels.withColumn("doc_id", F.col("doc_id").cast("long")), label, max_rows)
-    found = rows.mapInArrow(released(_train_bags), "doc_id long, y int, terms array<binary>, shares array<double>").collect()
+    found = rows.mapInArrow(released(_train_bags, OWNER), "doc_id long, y int, terms array<binary>, shares array<double>").collect()
     found = sorted(found, key=lambda r: r.doc_id)
     bags = [dict(zip(map(bytes, r.terms), r.shares, strict=True)) for r in found]
     return train(bags, np.array([r.y for r in found], float) if found else np.zeros(0), **training) if found else Voter([], np.empty(0), np.empty((0, 0)), np.empty((0, 0)), np.empty(0), 0.5, 1)
@@ -123,13 +125,14 @@ def score(spark: SparkSession, docs: DataFrame, model: Voter, threshold: float =
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember(OWNER, _shapes.clear)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 found = shared.value.score([terms(t) for t in part.column(1).cast(pa.binary()).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.float64))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run, OWNER), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -144,10 +147,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, model: Voter, threshold: flo
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember(OWNER, _shapes.clear)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 found = shared.value.score([terms(t) for t in part.column(place).cast(pa.binary()).to_pylist()])
                 yield part.filter(pa.array(found >= threshold))
 
-    return docs.mapInArrow(released(run), docs.schema)
+    return docs.mapInArrow(released(run, OWNER), docs.schema)

@@ -36,7 +36,8 @@ HEADER = ("magic", "n_docs", "n_null", "n_tokens", "id_width", "first_id", "b_lo
 SAMPLE = 64
 SHARD_TOKENS = 4_000_000
 CACHE_UNITS, REST_UNITS, CALL_PIECES = 500_000, 250_000, 256
-BATCH_ROWS = 4096
+#: Bytes of text cut at once, for each unit that a worker may remember.
+SLICE_BYTES = 16
 OWNER = "tokens"
 TAIL = "!#$%&()*+,-./:;<=>?@[]^_{|}~\""
 SHARDS = "range_no int, seq int, n_docs long, n_tokens long, payload binary"
@@ -97,7 +98,7 @@ class EliasFano:
         return out.astype(np.int64)
 
 
-def pack_shard(doc_ids: list, ends: np.ndarray, ids: bytes, id_width: int, seq: int) -> bytes:
+def pack_shard(doc_ids: list, ends: np.ndarray, ids: bytes | bytearray, id_width: int, seq: int) -> bytes:
     """Bytes of a shard; doc_ids ascending, nulls first; ends are cumulative token counts."""
     known = np.array([d for d in doc_ids if d is not None], dtype=np.int64)
     first = int(known[0]) if len(known) else 0
@@ -247,7 +248,7 @@ class _Encoder:
         pieces = [u if u[0] == "\n" else " " + u for u in units]
         return [b"" if p[0] == "\n" and not ids.startswith(self.newline) else ids for p, ids in zip(pieces, self._encode_pieces(pieces), strict=True)]
 
-    def forget(self, most: int = CACHE_UNITS, keep: int = CACHE_UNITS // 2) -> None:
+    def forget(self, most: int, keep: int) -> None:
         """Where more than ``most`` units came again, the ``keep`` that did so first stay, frequent ones; of the others the latest."""
         if len(self.kept) > most:
             self.kept = dict(islice(self.kept.items(), keep))
@@ -257,14 +258,14 @@ class _Encoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         return self.encode(pa.array(texts, pa.large_string()))
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text, little-endian; null counts as empty."""
+    def encode(self, texts: pa.Array, most: int = CACHE_UNITS) -> list[bytes]:
+        """Ids of each text, little-endian; null counts as empty. ``most``: units of either kind that are remembered."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return []
         if not self.by_piece:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-        self.forget()
+        self.forget(most, most // 2)
         gc.disable()  # only strings and bytes are made, in no cycles, and the tables of pieces are long to walk
         try:
             return self._by_piece(texts)
@@ -273,57 +274,70 @@ class _Encoder:
 
     def _by_piece(self, texts: pa.Array) -> list[bytes]:
         first, glue = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
-        led = pc.binary_join_element_wise(first, pc.replace_substring(texts, "\n", " \n"), glue)
-        cut = pc.split_pattern(led, " ")
-        firsts = cut.offsets.to_numpy()
+        cut = pc.split_pattern(pc.binary_join_element_wise(first, pc.replace_substring(texts, "\n", " \n"), glue), " ")
+        firsts = cut.offsets.to_numpy()[:-1]
         units = cut.flatten().dictionary_encode()
+        del cut  # a copy of the texts, and larger than they are with its offsets
         found = self._found(units.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
         placed = units.indices.to_numpy()
-        ends = np.r_[0, np.cumsum(sizes[placed])]
+        ends = np.cumsum(np.add.reduceat(sizes[placed], firsts, dtype=np.int64))  # a text has one unit at least
+        whole = np.logical_or.reduceat((sizes == 0)[placed], firsts)
         payload = memoryview(pa.array(found, pa.large_binary()).take(units.indices).buffers()[2] or b"")
-        whole = np.logical_or.reduceat((sizes == 0)[placed], firsts[:-1])
         for mark in self.added:
             whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        return [self._whole(texts[i].as_py()) if w else bytes(payload[a + self.width : b]) for i, (w, a, b) in enumerate(zip(whole.tolist(), ends[firsts[:-1]].tolist(), ends[firsts[1:]].tolist(), strict=True))]
+        return [self._whole(texts[i].as_py()) if w else bytes(payload[a + self.width : b]) for i, (w, a, b) in enumerate(zip(whole.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True))]
 
 
-def _shards(path: str, end_id: int, shard_tokens: int):
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of (doc_id, text) in slices of at most ``most`` bytes of text, or one longer text: cutting takes several times that."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False))
+    first, before = 0, 0
+    while first < len(ends):
+        stop = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(first, stop - first)
+        first, before = stop, int(ends[stop - 1])
+
+
+def _shards(path: str, end_id: int, shard_tokens: int, known_units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder.of(path)
         remember(OWNER, _Encoder.cached.clear)
         end = np.array([end_id], encoder.kind).tobytes()
         schema = pa.schema([("range_no", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-        place, seq, names, sizes, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        place, seq, names, sizes, ids, held = TaskContext.get().partitionId(), 0, [], [], bytearray(), 0
 
         def flush() -> pa.RecordBatch:
             ends = np.cumsum(np.array(sizes, np.int64))
-            payload = pack_shard(names, ends, b"".join(parts), encoder.width, seq)
+            payload = pack_shard(names, ends, ids, encoder.width, seq)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([place], [seq], [len(names)], [int(ends[-1])], [payload]), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(k, BATCH_ROWS)
-                for d, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+            for part in _slices(batch, SLICE_BYTES * known_units):
+                for d, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1), known_units), strict=True):
                     names.append(d)
-                    parts += (raw, end)
+                    ids += raw
+                    ids += end
                     sizes.append(len(raw) // encoder.width + 1)
                     held += sizes[-1]
                     if held >= shard_tokens:
                         yield flush()
-                        seq, names, sizes, parts, held = seq + 1, [], [], [], 0
+                        seq, names, sizes, ids, held = seq + 1, [], [], bytearray(), 0
         if names:
             yield flush()
-        encoder.forget(REST_UNITS, REST_UNITS)  # the worker may wait long for its next task
+        encoder.forget(known_units // 2, known_units // 2)  # the worker may wait long for its next task
 
     return released(run, OWNER)
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode (doc_id, text) into shards in ascending doc_id order; returns the stored shard table."""
+def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, known_units: int = CACHE_UNITS) -> DataFrame:
+    """Encode (doc_id, text) into shards in ascending doc_id order; returns the stored shard table.
+
+    ``known_units`` bounds what a worker remembers and cuts at once: fewer take less memory and more time, the shards are the same.
+    """
     bound_batches(spark)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(spark, ranged.mapInArrow(_shards(tokenizer_path, end_id, shard_tokens), SHARDS), "token_shards")
+    return stored(spark, ranged.mapInArrow(_shards(tokenizer_path, end_id, shard_tokens, known_units), SHARDS), "token_shards")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

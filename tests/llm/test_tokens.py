@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -109,3 +110,35 @@ def test_another_operator_drops_the_known_units():
     encoder = tokens._Encoder.of(PATH)
     assert list(released(iter, tokens.OWNER)([])) == [] and tokens._Encoder.of(PATH) is encoder
     assert list(released(iter)([])) == [] and not tokens._Encoder.cached
+
+
+def test_another_operator_drops_known_words_and_shapes():
+    from lattice.llm import decontam, quality
+    from lattice.llm.memory import released
+
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text": ["Seven of 12 boats sank near the old harbour wall today."], "y": [1]})
+    assert list(decontam._cut_items(6, 4)([batch])) and decontam._words
+    assert list(released(quality._train_bags, quality.OWNER)([batch])) and quality._shapes and not decontam._words
+    assert list(released(iter)([])) == [] and not quality._shapes
+
+
+def test_a_worker_cuts_and_remembers_no_more_than_it_may(monkeypatch):
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(tokens, "TaskContext", Task)
+    encoder, cut = tokens._Encoder.of(PATH), []
+    encoder.kept.clear()
+    encoder.young.clear()
+    encode = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda texts, *most: cut.append(texts) or encode(texts, *most))
+    texts = [" ".join(f"unit{(k * 37 + i) % 4000}" for i in range(k % 90)) for k in range(400)] + ["long " * 5000, None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    whole = [b.to_pydict() for b in tokens._shards(PATH, 0, 20_000, tokens.CACHE_UNITS)([batch])]
+    assert len(cut) == 1 and len(encoder.kept) + len(encoder.young) > 1000
+    cut.clear()
+    few = [b.to_pydict() for b in tokens._shards(PATH, 0, 20_000, 500)([batch])]
+    assert few == whole and sum(b["n_docs"][0] for b in few) == len(texts)
+    assert len(encoder.kept) <= 250 and len(encoder.young) <= 250
+    assert len(cut) > 10 and all(len(c) == 1 or sum(len(t or "") for t in c.to_pylist()) <= 500 * tokens.SLICE_BYTES for c in cut)
